@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, warc
+from . import langid, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.packed_documents,
+        "op4_language": langid.document_languages,
         "op5_warc": warc.warc_round_trip,
     }
 
