@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, warc
+from . import decontam, langid, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.packed_documents,
         "op4_language": langid.document_languages,
         "op5_warc": warc.warc_round_trip,
+        "op9_decontam": decontam.contaminated_documents,
     }
 
 
