@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, warc
+from . import decontam, langid, minhash, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": minhash.near_duplicate_documents,
         "op3_packing": packing.packed_documents,
         "op4_language": langid.document_languages,
         "op5_warc": warc.warc_round_trip,
