@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, packing, warc
+from . import decontam, langid, minhash, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.packed_documents,
         "op4_language": langid.document_languages,
         "op5_warc": warc.warc_round_trip,
+        "op7_toxicity": toxicity.document_toxicity,
         "op9_decontam": decontam.contaminated_documents,
     }
 
