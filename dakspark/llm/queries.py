@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, packing, toxicity, warc
+from . import decontam, langid, linededup, minhash, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": warc.warc_round_trip,
         "op7_toxicity": toxicity.document_toxicity,
         "op9_decontam": decontam.contaminated_documents,
+        "op10_lines": linededup.deduped_documents,
     }
 
 
