@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, minhash, packing, toxicity, warc
+from . import decontam, fingerprint, langid, linededup, minhash, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": langid.document_languages,
         "op5_warc": warc.warc_round_trip,
         "op7_toxicity": toxicity.document_toxicity,
+        "op8_fingerprint": fingerprint.document_fingerprints,
         "op9_decontam": decontam.contaminated_documents,
         "op10_lines": linededup.deduped_documents,
     }
