@@ -35,29 +35,54 @@ def words_of(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ANY_CASE_GAP.replace("[", "[^", 1))).cast("long")
-
-
-def grams(hashes: Column, k: int) -> Column:
-    """Hashes of all runs of k words, by their first place; none if there are fewer words."""
-    n = F.size(hashes) - k + 1
-    return F.when(
-        n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, k)))
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def winnowed(hashed: Column, span: int = SPAN) -> Column:
-    """The places (from 1) of the smallest of each `span` consecutive k-grams, the rightmost of equals."""
-    n = F.size(hashed) - span + 1
-    place = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: (
-            i
-            + span
-            - F.array_position(F.reverse(F.slice(hashed, i, span)), F.array_min(F.slice(hashed, i, span)))
-        ).cast("int"),
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), ANY_CASE_GAP), "")).cast("long")
+
+
+def grams(hashes: str, k: int) -> Column:
+    """Hashes of all runs of k words of the column `hashes`, by their first place."""
+    firsts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - k + 1, F.lit(0)))
+    return F.transform(firsts, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + j) for j in range(1, k)]))
+
+
+#: A k-gram's hash keeps its upper bits; the lower PLACE_BITS hold its place, modulo their range.
+PLACE_BITS = 3
+
+
+def placed(hashed: str) -> Column:
+    mask = (1 << PLACE_BITS) - 1
+    return F.transform(
+        hashed, lambda x, i: x.bitwiseAND(F.lit(~mask).cast("long")).bitwiseOR(i.cast("long").bitwiseAND(F.lit(mask)))
+    )
+
+
+def window_minima(values: str) -> Column:
+    """The smallest of each `SPAN` consecutive values; the last windows are shorter, which adds prints only."""
+    return F.transform(values, lambda x, i: F.least(x, *[F.get(values, i + j) for j in range(1, SPAN)]))
+
+
+def changes(minima: str) -> Column:
+    """The windows (from 0) whose smallest k-gram is not that of the window before."""
+    return F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size(minima) - 1, F.lit(0))),
+        lambda i: (F.size(minima) > 0) & ((i == 0) | (F.get(minima, i) != F.get(minima, i - 1))),
     )
-    return F.when(n > 0, F.array_distinct(place)).otherwise(F.array().cast("array<int>"))
+
+
+def winnowed(df: DataFrame, hashed: str) -> DataFrame:
+    """A row for each fingerprint of the k-grams in column `hashed`: print, place (from 1)."""
+    mask = (1 << PLACE_BITS) - 1
+    rows = (
+        df.withColumn("_placed", placed(hashed))
+        .drop(hashed)
+        .withColumn("_minima", window_minima("_placed"))
+        .drop("_placed")
+        .withColumn("_window", F.explode(changes("_minima")))
+        .withColumn("_least", F.get("_minima", F.col("_window")))
+    )
+    ahead = F.pmod(F.col("_least").bitwiseAND(F.lit(mask)).cast("int") - F.col("_window"), F.lit(mask + 1))
+    return rows.withColumn("print", F.shiftright("_least", PLACE_BITS)).withColumn(
+        "place", F.col("_window") + ahead + 1
+    ).drop("_minima", "_window", "_least")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -68,6 +93,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return items.where(F.size("item") > 0).withColumn("wide", F.least(F.lit(WINDOW), F.size("item")))
 
 
+def _around(words: str) -> Column:
+    """The words that windows around the k-gram at `place` can have, from at most SPAN - 1 before it."""
+    before = F.least(F.col("place") - 1, F.lit(SPAN - 1))
+    return F.slice(words, F.col("place") - before, before + WINDOW)
+
+
 def item_keys(items: DataFrame) -> DataFrame:
     """Rows (kind, print, item_place, item words around it): what is looked up in documents.
 
@@ -75,28 +106,24 @@ def item_keys(items: DataFrame) -> DataFrame:
     begins a shorter item.  Only the words that windows around the k-gram can have are kept.
     """
     hashes = items.withColumn("hashes", F.transform("item", lambda w: F.xxhash64(w)))
-    long = (
-        hashes.where(F.col("wide") == WINDOW)
-        .withColumn("hashed", grams(F.col("hashes"), GRAM))
-        .withColumn("place", F.explode(winnowed(F.col("hashed"))))
-        .select(
-            F.lit(0).alias("kind"),
-            F.element_at("hashed", F.col("place")).alias("print"),
-            "item_id",
-            "wide",
-            # words place - SPAN + 1 ... place + WINDOW - 1, as far as the item has them
-            F.least(F.col("place") - 1, F.lit(SPAN - 1)).alias("before"),
-            F.slice(
-                "item",
-                F.greatest(F.col("place") - SPAN + 1, F.lit(1)),
-                F.least(F.col("place") - 1, F.lit(SPAN - 1)) + WINDOW,
-            ).alias("around"),
-        )
+    long = winnowed(
+        hashes.where(F.col("wide") == WINDOW).withColumn("hashed", grams("hashes", GRAM)).drop("hashes"), "hashed"
+    ).select(
+        F.lit(0).alias("kind"),
+        "print",
+        "item_id",
+        "wide",
+        # words place - SPAN + 1 ... place + WINDOW - 1, as far as the item has them
+        F.least(F.col("place") - 1, F.lit(SPAN - 1)).alias("before"),
+        _around("item").alias("around"),
     )
     kind = F.least(F.col("wide"), F.lit(GRAM))
+    first = F.lit(None).cast("long")
+    for k in range(1, GRAM + 1):
+        first = F.when(kind == k, F.xxhash64(*[F.get("hashes", F.lit(j)) for j in range(k)])).otherwise(first)
     short = hashes.where(F.col("wide") < WINDOW).select(
         kind.alias("kind"),
-        F.xxhash64(F.slice("hashes", F.lit(1), kind)).alias("print"),
+        first.alias("print"),
         "item_id",
         "wide",
         F.lit(0).alias("before"),
@@ -117,21 +144,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for kind in kinds:
         k = kind or GRAM
-        hashed = hashes.withColumn("hashed", grams(F.col("hashes"), k)).drop("hashes")
+        hashed = hashes.withColumn("hashed", grams("hashes", k)).drop("hashes")
         if kind:
             places = hashed.select("*", F.posexplode("hashed").alias("place", "print")).withColumn(
                 "place", F.col("place") + 1
             )
         else:
-            chosen = F.transform(
-                winnowed(F.col("hashed")),
-                lambda i: F.struct(i.alias("place"), F.element_at("hashed", i).alias("print")),
-            )
-            places = hashed.withColumn("one", F.explode(chosen)).select("*", "one.*")
-        # The document's words around the k-gram, enough for every window that holds it.
-        around = F.slice(
-            "words", F.greatest(F.col("place") - SPAN + 1, F.lit(1)), F.least(F.col("place") - 1, F.lit(SPAN - 1)) + WINDOW
-        )
+            places = winnowed(hashed, "hashed")
+        around = _around("words")
         own = [
             "doc_id",
             "text_key",
