@@ -29,7 +29,7 @@ CELLS, GROUP_CELLS = 12, (4, 16)
 GROUP_SIZE = 4
 ROUNDS = 6
 #: Bounds on the ranges of ids, whose edges come to the driver.
-ROWS_PER_RANGE, MAX_RANGES = 20_000, 4096
+ROWS_PER_RANGE, MAX_RANGES = 5_000, 4096
 
 
 def digests(text: Column) -> Column:
