@@ -1,9 +1,12 @@
 """Links between items that share a bucket, without listing the pairs of a bucket.
 
-Each bucket tries its smallest item against the others; then, round by round, an item of another
-component, until each bucket is one component.  What is still split after LEADER_ROUNDS rounds is
-tried in full, but only across components, so a large group of copies costs its size, not its square.
-Whatever is tried is confirmed by the caller on full data.
+Copies of one original are each like it, but less like each other.  So each bucket tries its most
+central item, the one whose buckets are fullest, against the others; then the most central of those
+that the first did not reach; and so on.  A large group of copies is joined by its original in one
+round, at the cost of its size.  What is still apart after LEADER_ROUNDS rounds is tried in full, but
+only across components, and only pairs that a caller's bound does not rule out.  Whatever is tried is
+confirmed by the caller on full data, and no pair that could be a link is left untried, unless its
+ends are in one component already.
 """
 
 from __future__ import annotations
@@ -13,10 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_at, drop_path
+from .common import cut_at, drop_path, maybe_broadcast
 from .components import connected_components
 
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 3
 
 
 def link_buckets(
@@ -24,66 +27,82 @@ def link_buckets(
     confirm: Callable[[DataFrame], DataFrame],
     near: Callable[[Column, Column], Column],
     refine: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+    worth: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Components (node, component) of the items that `confirm` links.
+    """Components (node, component) of the items that `confirm` links; items without a link have no row.
 
-    `keys` has key, id, n; pairs with `near(n, n)` false are never tried; `refine` may drop pairs by a
-    cheap test, `confirm` keeps those that are links.  Items without a link have no row.
+    `keys` has key, id, n, where rows may repeat; pairs with `near(n, n)` false are never tried; `refine` may drop pairs by a
+    cheap test, `confirm` keeps those that are links.  For the last, full round, `enrich(ids)` gives
+    (id, more) and `worth(key, more, more)` tells if a pair of a bucket can still be a link.
     """
     spark = keys.sparkSession
-    first = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    buckets, buckets_path = cut_at(keys.join(first.select("key", "low"), "key"), "buckets")
-    sizes = buckets.where("id = low").select("key", F.col("n").alias("n_low")).distinct()
-    pairs = (
-        buckets.where("id > low")
-        .join(sizes, "key")
-        .where(near(F.col("n"), F.col("n_low")))
-        .select(F.col("low").alias("a"), F.col("id").alias("b"))
-        .distinct()
+    # Buckets with more than one item; most items have none, and thin rows of few buckets may fit a broadcast.
+    full = keys.groupBy("key").agg(F.min("id").alias("l"), F.max("id").alias("h")).where("l < h").select("key")
+    full, full_path = cut_at(full, "buckets")
+    side, _ = maybe_broadcast(full, row_bytes=16)
+    own = keys.join(side, "key").groupBy("key", "id").agg(F.min("n").alias("n"))
+    own, own_path = cut_at(own, "own")
+    shared, shared_path = cut_at(own.join(own.groupBy("key").agg(F.count("*").alias("m")), "key"), "shared")
+    drop_path(spark, full_path)
+    drop_path(spark, own_path)
+    central = shared.groupBy("id").agg(F.sum("m").alias("cent"))
+    members, members_path = cut_at(
+        shared.join(central, "id").select("key", "id", "n", "cent", F.col("id").alias("c"), F.lit(True).alias("open")),
+        "members",
     )
-    tried, _ = cut_at(refine(pairs), "pairs")
-    parts = connected_components(confirm(tried))
-    split = None
+    drop_path(spark, shared_path)
+    links, parts, tried = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
-        if split is None:  # components have changed
-            now = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("c")
-            )
-            now, now_path = cut_at(now, "members")
-            spread = now.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("key")
-            split, split_path = cut_at(now.join(spread, "key"), "split")
-            drop_path(spark, now_path)
-            if split.isEmpty():
-                break
+        # Buckets that are one component by now are done.
+        spread = members.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("key")
+        split, split_path = cut_at(members.join(spread, "key"), "split")
+        drop_path(spark, members_path)
+        if split.isEmpty():
+            break
         left = split.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+        right = split.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "open", "cent")
+        pair = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
         if turn < LEADER_ROUNDS:
-            # Another leader each round, chosen by a hash.
-            luck = F.xxhash64("id", F.lit(turn))
-            best = split.groupBy("key").agg(F.min(luck).alias("luck"))
-            lead = split.withColumn("luck", luck).join(best, ["key", "luck"]).drop("luck")
-            apart = F.col("cx") != F.col("cy")
+            best = right.where("open").groupBy("key").agg(F.max("cent").alias("cent"))
+            lead = right.where("open").join(best, ["key", "cent"])
+            lead = lead.join(lead.groupBy("key").agg(F.min("y").alias("y")), ["key", "y"])
+            found = left.join(lead.select("key", "y", "ny", "cy"), "key").where("cx <> cy")
+            found = found.where(near(F.col("nx"), F.col("ny")))
+            lead, lead_path = cut_at(lead.select("key", "y"), "leaders")
         else:
-            lead, apart = split, F.col("cx") < F.col("cy")
-        lead = lead.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-        fresh = (
-            left.join(lead, "key")
-            .where(apart)
-            .where(near(F.col("nx"), F.col("ny")))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
+            if enrich is not None:
+                more = enrich(split.select("id").distinct())
+                left = left.join(more.select(F.col("id").alias("x"), F.col("more").alias("mx")), "x")
+                right = right.join(more.select(F.col("id").alias("y"), F.col("more").alias("my")), "y")
+            can = (F.col("cx") < F.col("cy")) & near(F.col("nx"), F.col("ny"))
+            if worth is not None:
+                can &= worth(left["key"], F.col("mx"), F.col("my"))
+            found = left.join(right.drop("open", "cent"), (left["key"] == right["key"]) & can)
+        fresh = found.select(*pair).distinct()
+        if tried is not None:
+            fresh = fresh.join(tried, ["a", "b"], "left_anti")
         fresh, _ = cut_at(refine(fresh), "pairs")
-        if fresh.isEmpty():
-            continue
-        tried = tried.unionByName(fresh)
-        links = confirm(fresh)
-        if links.isEmpty():
-            continue
-        known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        parts = connected_components(links.unionByName(known))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if not fresh.isEmpty():
+            links = confirm(fresh)
+            if parts is not None:
+                links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            parts = connected_components(links)
+        if turn == LEADER_ROUNDS:
+            break
+        now = split.drop("c") if parts is not None else split
+        if parts is not None:
+            now = now.join(parts.withColumnRenamed("node", "id"), "id", "left")
+            now = now.withColumn("c", F.coalesce("component", "id")).drop("component")
+        reach = lead.join(now.select("key", F.col("id").alias("y"), F.col("c").alias("reached")), ["key", "y"])
+        members = now.join(reach.select("key", "reached"), "key", "left").select(
+            "key", "id", "n", "cent", "c", (F.col("open") & ~F.coalesce(F.col("c") == F.col("reached"), F.lit(False))).alias("open")
+        )
+        members, members_path = cut_at(members, "members")
         drop_path(spark, split_path)
-        split = None
-    drop_path(spark, buckets_path)
+        drop_path(spark, lead_path)
+    if parts is None:
+        return keys.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     parts, _ = cut_at(parts, "components")
     return parts

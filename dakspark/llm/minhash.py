@@ -6,11 +6,10 @@ symbols of some chunk (pigeonhole: RADIUS < CHUNKS * (ERRORS + 1)), so listing e
 choice of ERRORS symbols left out finds all such pairs.  Candidates within RADIUS are confirmed on
 their full sets.
 
-No bucket emits its pairs.  Equal sets are one class from the start.  Members of a bucket are tried
-against its smallest class; then, round by round, against the bucket's smallest member that lies in
-another component, until each bucket is one component or its components have been tried against each
-other in full: only pairs that could still join two components are looked at.  Each tried pair is
-confirmed or refuted on full sets, so no link between components is lost.
+No bucket emits its pairs.  Equal sets are one class from the start; buckets are joined round by round
+by their most central members (see `buckets`).  Pairs across components that remain are ruled out where
+possible by an exact bound, the shingles that no other such document has; the others are confirmed on
+their full sets.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; null ids are
 left out; rows that repeat an id are one document, with the shingles of the smallest of its texts;
@@ -26,13 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import link_buckets
 from .common import cut_at, drop_path, maybe_broadcast
-from .components import connected_components
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 48, 16, 12, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-#: Rounds in which a bucket tries one leader; then what is left is tried in full.
-LEADER_ROUNDS = 4
+WIDE = SYMBOLS // CHUNKS
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,27 +113,41 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(sketch, "doc_id long, n_shingles long, set_a long, set_b long, sign array<short>")
 
 
+def _packed(sign: Column, chunk: int) -> Column:
+    """A chunk's symbols as one 64-bit number."""
+    out = F.lit(0).cast("long")
+    for j in range(WIDE):
+        symbol = F.element_at(sign, chunk * WIDE + j + 1).cast("long").bitwiseAND(F.lit(0xFFFF))
+        out = F.shiftleft(out, BITS).bitwiseOR(symbol)
+    return out
+
+
 def chunk_keys(sign: Column) -> Column:
     """Each chunk with each choice of ERRORS symbols left out, as one 64-bit key: no two choices meet."""
-    wide = SYMBOLS // CHUNKS
     out = []
     for chunk in range(CHUNKS):
-        for left_out in range(wide):
-            kept = [chunk * wide + j for j in range(wide) if j != left_out]
-            key = F.lit(chunk * wide + left_out).cast("long")
-            for place in kept:
-                key = F.shiftleft(key, BITS).bitwiseOR(F.element_at(sign, place + 1).cast("long").bitwiseAND(F.lit(0xFFFF)))
+        for left_out in range(WIDE):
+            key = F.lit(chunk * WIDE + left_out).cast("long")
+            for j in range(WIDE):
+                if j != left_out:
+                    symbol = F.element_at(sign, chunk * WIDE + j + 1).cast("long").bitwiseAND(F.lit(0xFFFF))
+                    key = F.shiftleft(key, BITS).bitwiseOR(symbol)
             out.append(key)
     return F.array(*out)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda n, x: n + x
-    )
+def _lanes(x: Column, y: Column) -> Column:
+    """How many of a chunk's symbols differ."""
+    both = x.bitwiseXOR(y)
+    return sum((F.shiftright(both, BITS * j).bitwiseAND(F.lit(0xFFFF)) != 0).cast("int") for j in range(WIDE))
 
 
-def _near_in_size(a: str, b: str, percent: int) -> Column:
+def _distance(x: Column, y: Column) -> Column:
+    """How many symbols of two packed signatures differ."""
+    return sum(_lanes(x[c], y[c]) for c in range(CHUNKS))
+
+
+def _near_in_size(a: Column, b: Column, percent: int) -> Column:
     """A pair can reach the threshold only if the smaller set is `percent` of the larger."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -146,6 +158,24 @@ class _Confirmer:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs, width, percent
 
+    def shingles(self, ids: DataFrame) -> DataFrame:
+        """Rows (id, s) of the sets of the documents in `ids`."""
+        width = self.width
+
+        def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sets = [shingle_set(x, width).view(np.int64) for x in batch["text"]]
+                yield pd.DataFrame(
+                    {
+                        "id": np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in sets]),
+                        "s": np.concatenate(sets) if sets else np.empty(0, np.int64),
+                    }
+                )
+
+        own, path = cut_at(ids.select(F.col("id").alias("doc_id")), "wanted")
+        own, _ = maybe_broadcast(own, row_bytes=16)
+        return self.docs.join(own, "doc_id", "left_semi").mapInPandas(pieces, "id long, s long").distinct()
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with 100 * intersection >= percent * union."""
         width, percent = self.width, self.percent
@@ -198,62 +228,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     confirm = _Confirmer(docs, width, percent)
 
     keys = classes.select("id", "n", F.explode(chunk_keys(F.col("sign"))).alias("key"))
-    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    shared = keys.join(leaders.select("key", "first"), "key")
-    buckets, buckets_path = cut_at(shared.select("key", "id", "n", "first"), "buckets")
-    signs = classes.select("id", "sign")
+    signs = classes.select("id", F.array(*[_packed(F.col("sign"), c) for c in range(CHUNKS)]).alias("chunks"))
 
     def within_radius(pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures differ in at most RADIUS symbols."""
-        a, b = (signs.select(F.col("id").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-        near = pairs.join(a, "a").join(b, "b").where(_distance(F.col("sign_a"), F.col("sign_b")) <= RADIUS)
+        a, b = (signs.select(F.col("id").alias(x), F.col("chunks").alias(f"chunks_{x}")) for x in "ab")
+        near = pairs.join(a, "a").join(b, "b").where(_distance(F.col("chunks_a"), F.col("chunks_b")) <= RADIUS)
         return near.select("a", "b")
 
-    pairs = (
-        buckets.where("id <> first.id")
-        .where(_near_in_size(F.col("n"), F.col("first.n"), percent))
-        .select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
-    tried, _ = cut_at(within_radius(pairs), "pairs")
-    links = confirm(tried)
-    for turn in range(LEADER_ROUNDS + 1):
-        parts, _ = cut_at(connected_components(links), "components")
-        now = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-            "key", "id", "n", F.coalesce("component", "id").alias("c")
-        )
-        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        open_now, open_path = cut_at(now.join(spread.select("key"), "key"), "open")
-        if open_now.isEmpty():
-            break
-        left = open_now.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        if turn < LEADER_ROUNDS:
-            # One member of another component each round, chosen by a hash, so leaders differ.
-            pick = F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", "key", F.lit(turn)))
-            lead = open_now.groupBy("key").agg(pick.alias("p")).select(
-                "key", F.col("p.id").alias("y"), F.col("p.n").alias("ny"), F.col("p.c").alias("cy")
-            )
-        else:
-            lead = open_now.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-        order = F.col("cx") != F.col("cy") if turn < LEADER_ROUNDS else F.col("cx") < F.col("cy")
-        fresh = (
-            left.join(lead, "key")
-            .where(order)
-            .where(_near_in_size(F.col("nx"), F.col("ny"), percent))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        fresh, _ = cut_at(within_radius(fresh), "pairs")
-        drop_path(spark, open_path)
-        tried = tried.unionByName(fresh)
-        if fresh.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        new = confirm(fresh)
-        links = links.unionByName(new)
-    parts, _ = cut_at(connected_components(links), "components")
+    def enrich(ids: DataFrame) -> DataFrame:
+        """The signature, the set's size, and how many of its shingles others of `ids` have as well."""
+        pieces = confirm.shingles(ids)
+        common = pieces.groupBy("s").agg(F.min("id").alias("l"), F.max("id").alias("h")).where("l < h").select("s")
+        counts = pieces.join(common, "s").groupBy("id").agg(F.count("*").alias("others"))
+        rows = classes.join(ids, "id", "left_semi").join(counts, "id", "left")
+        more = F.struct("n", F.coalesce("others", F.lit(0)).alias("others"), *[_packed(F.col("sign"), c).alias(f"c{c}") for c in range(CHUNKS)])
+        return cut_at(rows.select("id", more.alias("more")), "enriched")[0]
+
+    def worth(key: Column, x: Column, y: Column) -> Column:
+        """Enough shingles that others have too, signatures within RADIUS, and no earlier bucket with both."""
+        enough = (100 + percent) * F.least(x["others"], y["others"]) >= percent * (x["n"] + y["n"])
+        apart = [_lanes(x[f"c{c}"], y[f"c{c}"]) for c in range(CHUNKS)]
+        slot = F.shiftrightunsigned(key, BITS * (WIDE - ERRORS))
+        first = F.lit(False)
+        for c in reversed(range(CHUNKS)):
+            here = (slot >= c * WIDE) & (slot < (c + 1) * WIDE) & ((apart[c] == 1) | (slot == c * WIDE))
+            first = F.when(apart[c] <= ERRORS, here).otherwise(first)
+        return enough & (sum(apart) <= RADIUS) & first
+
+    parts = link_buckets(keys, confirm, lambda x, y: _near_in_size(x, y, percent), within_radius, enrich, worth)
     root = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         "n", "set_a", "set_b", F.coalesce("component", "id").alias("root")
     )
