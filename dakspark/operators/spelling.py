@@ -1,0 +1,131 @@
+"""Spelling: corrections of distinct tokens by joins, then applied to rows."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as X
+from ..functions import vocabulary as V
+
+
+def deletions(word: Column) -> Column:
+    """The word and all it becomes by leaving out one letter: words one edit apart share one of these."""
+    n = F.char_length(word)
+    cut = F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)),
+    )
+    return F.array_distinct(F.concat(F.array(word), cut))
+
+
+def edit_neighbours(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows (word, near, n): tokens of vocabulary (token, n) one insertion, deletion, change or swap away.
+
+    Both sides are keyed by their deletions, so the join is an equi-join; a pair is then checked.
+    """
+    left = words.select("word", F.explode(deletions(F.col("word"))).alias("key"))
+    right = vocabulary.select(F.col("token").alias("near"), "n", F.explode(deletions(F.col("token"))).alias("key"))
+    pairs = left.join(right, "key").where("word <> near").select("word", "near", "n").distinct()
+    return pairs.where((F.levenshtein("word", "near") <= 1) | swapped(F.col("word"), F.col("near")))
+
+
+def swapped(a: Column, b: Column) -> Column:
+    """If b is a with two neighbouring letters swapped."""
+    n = F.char_length(a)
+    differ = F.filter(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))
+    )
+    i, j = F.get(differ, F.lit(0)), F.get(differ, F.lit(1))
+    cross = (F.substr(a, i, F.lit(1)) == F.substr(b, j, F.lit(1))) & (F.substr(a, j, F.lit(1)) == F.substr(b, i, F.lit(1)))
+    return F.coalesce((n == F.char_length(b)) & (F.size(differ) == 2) & (j == i + 1) & cross, F.lit(False))
+
+
+def norvig_correct(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Per word itself if known, else its best neighbour by count and keyboard distance, else itself."""
+    known = words.join(vocabulary.select(F.col("token").alias("word")), "word", "left_semi")
+    new = words.join(known, "word", "left_anti")
+    weight = F.col("n") * X.keyboard_weight(F.col("word"), F.col("near"))
+    best = Window.partitionBy("word").orderBy(F.col("weight").desc(), "near")
+    near = (
+        edit_neighbours(new, vocabulary)
+        .withColumn("weight", F.round(weight, 9))
+        .withColumn("rank", F.row_number().over(best))
+        .where("rank = 1")
+        .select("word", F.col("near").alias("corrected"))
+    )
+    return words.join(near, "word", "left").select("word", F.coalesce("corrected", "word").alias("corrected"))
+
+
+def close_words(words: DataFrame, vocabulary: DataFrame, least: float = 90.0, lengths: int = 3) -> DataFrame:
+    """Per word the most like token with its first letter, of about its length, at `least` or more."""
+    left = words.select("word", F.substring("word", 1, 1).alias("initial"))
+    right = vocabulary.select("token", F.substring("token", 1, 1).alias("initial"))
+    pairs = left.join(right, "initial").where(F.abs(F.char_length("word") - F.char_length("token")) <= lengths)
+    best = Window.partitionBy("word").orderBy(F.col("score").desc(), "token")
+    return (
+        pairs.withColumn("score", S.indel_ratio("word", "token"))
+        .where(F.col("score") >= least)
+        .withColumn("rank", F.row_number().over(best))
+        .where("rank = 1")
+        .select("word", "token", F.round("score", 6).alias("score"))
+    )
+
+
+def phonetic_matches(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows (word, token) whose phonetic hashes are equal."""
+    left = words.select("word", X.phonetic_hash("word").alias("hash"))
+    right = vocabulary.select("token", X.phonetic_hash("token").alias("hash"))
+    return left.join(right, "hash").where("word <> token").select("word", "token", "hash")
+
+
+def is_safe(original: Column, fixed: Column) -> Column:
+    """A correction has no digits and keeps about the length, and the first letter, the consonants or all but one sign."""
+    return (
+        ~original.rlike("[0-9]")
+        & (F.abs(F.char_length(original) - F.char_length(fixed)) <= 3)
+        & (
+            (F.substring(original, 1, 1) == F.substring(fixed, 1, 1))
+            | (X.consonant_signature(original) == X.consonant_signature(fixed))
+            | ((F.char_length(original) >= 6) & (F.levenshtein(original, fixed) <= 1))
+        )
+    )
+
+
+def correct_tokens(rows: DataFrame, key: str, toks: str, vocabulary: DataFrame, misspellings: Mapping[str, str] = V.MISSPELLINGS) -> DataFrame:
+    """Rows with `corrected` tokens and `changes`; each distinct token is corrected once.
+
+    In order: known tokens stay, the dictionary, a neighbour one edit away, a close word, an equal
+    phonetic hash that is the only one; each stage sees what the earlier ones left.
+    """
+    places = rows.select(key, F.posexplode(toks).alias("pos", "word"))
+    distinct = places.select("word").distinct()
+    table = X.lookup(misspellings)
+    plain = distinct.where(F.col("word").rlike("^[a-z]{4,}$")).join(
+        vocabulary.select(F.col("token").alias("word")), "word", "left_anti"
+    )
+    listed = plain.withColumn("corrected", table[F.col("word")])
+    rest = listed.where(F.col("corrected").isNull()).select("word")
+    near = norvig_correct(rest, vocabulary).where("word <> corrected")
+    rest = rest.join(near, "word", "left_anti")
+    close = close_words(rest, vocabulary, least=75.0).select("word", F.col("token").alias("corrected"))
+    rest = rest.join(close, "word", "left_anti")
+    sound = phonetic_matches(rest, vocabulary).groupBy("word").agg(F.min("token").alias("corrected"), F.count("*").alias("m")).where("m = 1")
+    fixes = (
+        listed.where(F.col("corrected").isNotNull())
+        .unionByName(near)
+        .unionByName(close)
+        .unionByName(sound.select("word", "corrected"))
+        .where(is_safe(F.col("word"), F.col("corrected")))
+    )
+    mended = places.join(fixes, "word", "left").withColumn("to", F.coalesce("corrected", "word"))
+    gathered = mended.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "to"))).alias("all"))
+    changed = F.filter("all", lambda x: x["word"] != x["to"])
+    return gathered.select(
+        key,
+        F.transform("all", lambda x: x["to"]).alias("corrected"),
+        F.transform(changed, lambda x: F.struct(x["word"].alias("src"), x["to"].alias("dst"))).alias("changes"),
+    )
