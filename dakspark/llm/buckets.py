@@ -33,7 +33,7 @@ def link_buckets(
     """Components (node, component) of the items that `confirm` links; items without a link have no row.
 
     `keys` has key, id, n, where rows may repeat; pairs with `near(n, n)` false are never tried; `refine` may drop pairs by a
-    cheap test, `confirm` keeps those that are links.  For the last, full round, `enrich(ids)` gives
+    cheap test (which `worth` does in the last round), `confirm` keeps those that are links.  For the last, full round, `enrich(ids)` gives
     (id, more) and `worth(key, more, more)` tells if a pair of a bucket can still be a link.
     """
     spark = keys.sparkSession
@@ -82,7 +82,7 @@ def link_buckets(
         fresh = found.select(*pair).distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh, _ = cut_at(refine(fresh), "pairs")
+        fresh, _ = cut_at(fresh if turn == LEADER_ROUNDS and worth is not None else refine(fresh), "pairs")
         tried = fresh if tried is None else tried.unionByName(fresh)
         if not fresh.isEmpty():
             links = confirm(fresh)

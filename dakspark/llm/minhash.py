@@ -31,6 +31,8 @@ from .common import cut_at, drop_path, maybe_broadcast
 SYMBOLS, BITS, CHUNKS, ERRORS = 48, 16, 12, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 WIDE = SYMBOLS // CHUNKS
+#: Slots of shingle hashes that bound what two sets can have in common.
+SLOTS = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -236,24 +238,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return near.select("a", "b")
 
     def enrich(ids: DataFrame) -> DataFrame:
-        """The signature, the set's size, and how many of its shingles others of `ids` have as well."""
+        """The signature, the set's size, and how many shingles that others of `ids` have too lie in each slot of hashes.
+
+        Documents that share no shingle with another one can't be linked and are left out.
+        """
         pieces = confirm.shingles(ids)
         common = pieces.groupBy("s").agg(F.min("id").alias("l"), F.max("id").alias("h")).where("l < h").select("s")
-        counts = pieces.join(common, "s").groupBy("id").agg(F.count("*").alias("others"))
-        rows = classes.join(ids, "id", "left_semi").join(counts, "id", "left")
-        more = F.struct("n", F.coalesce("others", F.lit(0)).alias("others"), *[_packed(F.col("sign"), c).alias(f"c{c}") for c in range(CHUNKS)])
+        slot = F.pmod("s", F.lit(SLOTS)).cast("int")
+        by_slot = pieces.join(common, "s").groupBy("id", slot.alias("slot")).agg(F.count("*").cast("int").alias("m"))
+        counts = by_slot.groupBy("id").agg(
+            F.map_from_entries(F.collect_list(F.struct("slot", "m"))).alias("m"), F.sum("m").alias("others")
+        )
+        filled = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
+        rows = classes.join(ids, "id", "left_semi").join(counts.select("id", "others", filled.alias("slots")), "id")
+        more = F.struct("n", "others", "slots", *[_packed(F.col("sign"), c).alias(f"c{c}") for c in range(CHUNKS)])
         return cut_at(rows.select("id", more.alias("more")), "enriched")[0]
 
     def worth(key: Column, x: Column, y: Column) -> Column:
-        """Enough shingles that others have too, signatures within RADIUS, and no earlier bucket with both."""
-        enough = (100 + percent) * F.least(x["others"], y["others"]) >= percent * (x["n"] + y["n"])
+        """Signatures within RADIUS, no earlier bucket with both, and enough shingles that can be common.
+
+        Two sets can't have more in common than the smaller count of each slot, all slots added.
+        """
+        most = F.aggregate(
+            F.zip_with(x["slots"], y["slots"], lambda p, q: F.least(p, q)), F.lit(0), lambda total, m: total + m
+        )
+        needed = percent * (x["n"] + y["n"])
+        some = (100 + percent) * F.least(x["others"], y["others"]) >= needed  # the cheapest test, so the first
+        enough = (100 + percent) * most >= needed
         apart = [_lanes(x[f"c{c}"], y[f"c{c}"]) for c in range(CHUNKS)]
         slot = F.shiftrightunsigned(key, BITS * (WIDE - ERRORS))
         first = F.lit(False)
         for c in reversed(range(CHUNKS)):
             here = (slot >= c * WIDE) & (slot < (c + 1) * WIDE) & ((apart[c] == 1) | (slot == c * WIDE))
             first = F.when(apart[c] <= ERRORS, here).otherwise(first)
-        return enough & (sum(apart) <= RADIUS) & first
+        return some & (sum(apart) <= RADIUS) & first & enough
 
     parts = link_buckets(keys, confirm, lambda x, y: _near_in_size(x, y, percent), within_radius, enrich, worth)
     root = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
