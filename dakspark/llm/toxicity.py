@@ -17,6 +17,7 @@ largest counts; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -340,7 +341,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> GatedNet | None:
     truth = np.array([r["toxic"] for r in rows])
     if not len(truth) or truth.min() == truth.max():
         return None
-    return train([split_words(r["part"]) for r in rows], truth)
+    # Words are kept once each: the sample has millions of them.
+    texts = [[sys.intern(w) for w in split_words(r["part"])] for r in rows]
+    del rows
+    return train(texts, truth)
 
 
 def score_toxicity(docs: DataFrame, net: GatedNet | None) -> DataFrame:
