@@ -29,12 +29,14 @@ def link_buckets(
     refine: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     enrich: Callable[[DataFrame], DataFrame] | None = None,
     worth: Callable[[Column, Column, Column], Column] | None = None,
+    prepare: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Components (node, component) of the items that `confirm` links; items without a link have no row.
 
     `keys` has key, id, n, where rows may repeat; pairs with `near(n, n)` false are never tried; `refine` may drop pairs by a
     cheap test (which `worth` does in the last round), `confirm` keeps those that are links.  For the last, full round, `enrich(ids)` gives
-    (id, more) and `worth(key, more, more)` tells if a pair of a bucket can still be a link.
+    (id, more) and `worth(key, more, more)` tells if a pair of a bucket can still be a link.  `prepare(ids)`
+    is called once with all items that share a bucket, before any are tried.
     """
     spark = keys.sparkSession
     # Buckets with more than one item; most items have none, and thin rows of few buckets may fit a broadcast.
@@ -52,6 +54,8 @@ def link_buckets(
         "members",
     )
     drop_path(spark, shared_path)
+    if prepare is not None:
+        prepare(members.select("id").distinct())
     links, parts, tried = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         # Buckets that are one component by now are done.

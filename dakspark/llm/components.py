@@ -34,24 +34,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """If every node has one edge down at most, and none to a node that has one itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    return ends.groupBy("node").agg(F.sum("down").alias("d"), F.max("up").alias("u")).where("d > 1 OR (d = 1 AND u = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """Rows (node, component) of all nodes with edges (a, b); a component is its smallest node.
 
     Nulls and loops in `edges` are left out; repeated edges count once.
     """
+    spark = edges.sparkSession
     now, path = cut_at(_linked(edges.select("a", "b")).distinct(), "edges")
-    state = None
     for _ in range(max_steps):
+        if _settled(now):
+            break
         nxt, new_path = cut_at(_small_star(_large_star(now)).distinct(), "edges")
-        found = nxt.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        drop_path(edges.sparkSession, path)
+        drop_path(spark, path)
         now, path = nxt, new_path
-        if state == (found["n"], found["h"]):
-            break
-        state = (found["n"], found["h"])
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
