@@ -109,10 +109,19 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     "set_a": left,
                     "set_b": right,
                     "sign": signs,
+                    "tkey": batch["tkey"],
                 }
             )
 
-    return docs.mapInPandas(sketch, "doc_id long, n_shingles long, set_a long, set_b long, sign array<short>")
+    keyed = docs.select("doc_id", "text", _text_key().alias("tkey"))
+    return keyed.mapInPandas(
+        sketch, "doc_id long, n_shingles long, set_a long, set_b long, sign array<short>, tkey long"
+    )
+
+
+def _text_key() -> Column:
+    """Tells the texts of a repeated id apart."""
+    return F.xxhash64("text", F.lit(61))
 
 
 def _packed(sign: Column, chunk: int) -> Column:
@@ -174,7 +183,7 @@ class _Confirmer:
                     }
                 )
 
-        own, path = cut_at(ids.select(F.col("id").alias("doc_id")), "wanted")
+        own, _ = cut_at(ids.select(F.col("id").alias("doc_id")), "wanted")
         own, _ = maybe_broadcast(own, row_bytes=16)
         return self.docs.join(own, "doc_id", "left_semi").mapInPandas(pieces, "id long, s long").distinct()
 
@@ -217,16 +226,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     known, known_path = cut_at(sketches(docs, width), "sketches")
-    first = F.min(F.struct("n_shingles", "set_a", "set_b", "sign"))
+    first = F.min(F.struct("n_shingles", "set_a", "set_b", "sign", "tkey"))
     # Ids that repeat are rare: they are merged by a pre-summed aggregate of thin rows.
-    whole = known.groupBy("doc_id").agg(first.alias("k")).select("doc_id", "k.*")
+    whole, _ = cut_at(known.groupBy("doc_id").agg(first.alias("k")).select("doc_id", "k.*"), "whole")
+    if whole.count() < known.count():
+        # Only then are texts moved: of each id's texts the chosen one stays.
+        chosen = whole.select("doc_id", F.col("tkey").alias("_tkey"))
+        docs = docs.join(chosen, "doc_id").where(_text_key().eqNullSafe(F.col("_tkey"))).select("doc_id", "text")
+    drop_path(spark, known_path)
     classes = (
         whole.where("n_shingles > 0")
         .groupBy("n_shingles", "set_a", "set_b")
         .agg(F.min(F.struct("doc_id", "sign")).alias("k"))
         .select(F.col("k.doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("k.sign").alias("sign"), "set_a", "set_b")
     )
-    classes, classes_path = cut_at(classes, "classes")
+    classes, _ = cut_at(classes, "classes")
     confirm = _Confirmer(docs, width, percent)
 
     keys = classes.select("id", "n", F.explode(chunk_keys(F.col("sign"))).alias("key"))
