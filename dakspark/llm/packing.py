@@ -38,7 +38,7 @@ PIECES = (
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 #: Other letters, where case, composition or classes need the library's own rules, take the direct way.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 
 
 class WordEncoder:

@@ -37,7 +37,7 @@ HIDDEN_WORDS = 0.4
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 6000
 MIN_COUNT, MAX_WORDS = 4, 20_000
 #: Distinct words whose inputs a worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 
 WORD = re.compile(r"[^\W_]+")
 
