@@ -16,7 +16,10 @@ largest counts; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
+import pickle
 import re
+import subprocess
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -341,10 +344,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> GatedNet | None:
     truth = np.array([r["toxic"] for r in rows])
     if not len(truth) or truth.min() == truth.max():
         return None
+    return train_apart([r["part"] for r in rows], truth)
+
+
+def train_apart(parts: list[str], truth: np.ndarray) -> GatedNet:
+    """As `train`, in a process of its own, whose memory the driver gets back at its end."""
+    paths = os.pathsep.join(os.path.abspath(p) for p in sys.path if p)
+    done = subprocess.run(
+        [sys.executable, "-c", f"from {__name__} import train_from_input; train_from_input()"],
+        input=pickle.dumps((parts, truth)),
+        stdout=subprocess.PIPE,
+        env=os.environ | {"PYTHONPATH": paths},
+        check=True,
+    )
+    return pickle.loads(done.stdout)
+
+
+def train_from_input() -> None:
+    """Reads texts and labels from the standard input, and writes the network to the standard output."""
+    parts, truth = pickle.load(sys.stdin.buffer)
     # Words are kept once each: the sample has millions of them.
-    texts = [[sys.intern(w) for w in split_words(r["part"])] for r in rows]
-    del rows
-    return train(texts, truth)
+    net = train([[sys.intern(w) for w in split_words(x)] for x in parts], truth)
+    sys.stdout.buffer.write(pickle.dumps(net))
 
 
 def score_toxicity(docs: DataFrame, net: GatedNet | None) -> DataFrame:
