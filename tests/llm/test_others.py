@@ -162,6 +162,15 @@ def test_line_edges(frame):
     assert linededup.dedupe_lines(frame([])).count() == 0
 
 
+def test_lines_of_few_shingles(frame):
+    """Long lines that repeat themselves: in some of them no shingle's hash is in a tier's share."""
+    units = [f"{w} " for w in ("The", "Aivi", "Oneaea", "ab", "x1", "qq7", "Zz", "lorem")] + ["-", "=", "+-", "| -", "*~", "#."]
+    lines = [(u * 6000)[:n] for u, n in zip(units, [300, 1721, 6119] * 5)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join([*lines, "own"]))]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedupe_lines(frame(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "own"}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, x) for x in range(4000, 4100)]
