@@ -3,7 +3,8 @@
 Words are hashed, GRAM consecutive ones to a k-gram; of each SPAN consecutive k-grams the smallest is
 kept as a fingerprint.  With GRAM + SPAN - 1 = WINDOW, any shared run of WINDOW words shares one.
 Training and benchmark fingerprints are joined, and a hit is extended: the windows of the item that
-hold the shared k-gram are compared word by word with the document's words around it.  Items under
+hold the shared k-gram are compared word by word with the document's words around it.  Where a k-gram
+recurs within SPAN, document and item may keep different ones, so items keep all of these.  Items under
 WINDOW words are one window each; their first min(GRAM, length) words are looked up at every place.
 
 The benchmark's fingerprints are broadcast only if their counted rows fit a limit, together with
@@ -85,6 +86,21 @@ def winnowed(df: DataFrame, hashed: str) -> DataFrame:
     ).drop("_minima", "_window", "_least")
 
 
+def recurring(df: DataFrame, hashed: str) -> DataFrame:
+    """A row for each k-gram in column `hashed` that occurs again less than SPAN places away: print, place (from 1)."""
+    rows = df.withColumn("_prints", F.transform(hashed, lambda x: F.shiftright(x, PLACE_BITS))).drop(hashed)
+
+    def again(i: Column) -> Column:
+        own, out = F.get("_prints", i), F.lit(False)
+        for j in range(1, SPAN):
+            out = out | own.eqNullSafe(F.get("_prints", i + j)) | own.eqNullSafe(F.get("_prints", i - j))
+        return out
+
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_prints") - 1, F.lit(0))), again)
+    rows = rows.withColumn("_at", F.explode(places))
+    return rows.withColumn("print", F.get("_prints", F.col("_at"))).withColumn("place", F.col("_at") + 1).drop("_prints", "_at")
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Per item of `benchmark` (item_id, text): its words and how many words its windows have."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(
@@ -102,13 +118,12 @@ def _around(words: str) -> Column:
 def item_keys(items: DataFrame) -> DataFrame:
     """Rows (kind, print, item_place, item words around it): what is looked up in documents.
 
-    kind 0 are winnowed fingerprints of items of WINDOW words and more; kind k > 0 is the k-gram that
+    kind 0 are winnowed fingerprints of items of WINDOW words and more, and their recurring k-grams; kind k > 0 is the k-gram that
     begins a shorter item.  Only the words that windows around the k-gram can have are kept.
     """
     hashes = items.withColumn("hashes", F.transform("item", lambda w: F.xxhash64(w)))
-    long = winnowed(
-        hashes.where(F.col("wide") == WINDOW).withColumn("hashed", grams("hashes", GRAM)).drop("hashes"), "hashed"
-    ).select(
+    whole = hashes.where(F.col("wide") == WINDOW).withColumn("hashed", grams("hashes", GRAM)).drop("hashes")
+    long = winnowed(whole, "hashed").unionByName(recurring(whole, "hashed")).select(
         F.lit(0).alias("kind"),
         "print",
         "item_id",

@@ -69,3 +69,17 @@ def test_empty_tables_and_columns(frame):
     rows = frame([(1, long, 3), (2, "clean words", 4)], "doc_id long, text string, item_id long")
     kept = decontam.drop_contaminated(rows, frame([(1, long)], "item_id long, text string"))
     assert [tuple(r) for r in kept.collect()] == [(2, "clean words", 4)]
+
+
+def test_words_that_repeat(frame):
+    """Runs of short periods, where document and item may keep different ones of equal k-grams."""
+    rng = random.Random(4)
+    items, docs = [], []
+    for i in range(60):
+        unit = [f"u{i}x{j}" for j in range(1 + i % 6)]
+        run = (unit * 20)[: rng.choice([13, 14, 16, 20])]
+        own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+        items.append((i, " ".join(own(rng.randrange(9)) + run + own(rng.randrange(9)))))
+        docs += [(10 * i + k, " ".join(own(rng.randrange(30)) + run + own(rng.randrange(30)))) for k in range(4)]
+    got = decontam.contamination(frame(docs), frame(items, "item_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
