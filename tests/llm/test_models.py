@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dakspark.llm import langid, toxicity
+from dakspark.llm import gated, langid, toxicity
 
 DIR = "/root/testdata/sf0.01"
 
@@ -55,7 +55,7 @@ def test_language_edges(frame):
 
 
 def test_recurrent_gradients():
-    net = toxicity.GatedNet(["a", "b", "cd"])
+    net = gated.GatedNet(["a", "b", "cd"])
     for name in net.PARTS:
         setattr(net, name, getattr(net, name).astype(np.float64))
     windows, labels = [["a", "cd", "x"], ["b"], [], ["zz", "a"] * 12], np.array([1.0, 0, 1, 0])
@@ -63,7 +63,7 @@ def test_recurrent_gradients():
 
     def loss():
         table = net.project(words)
-        index, sizes = np.zeros((4, toxicity.WINDOW), int), np.array([len(x) for x in windows])
+        index, sizes = np.zeros((4, gated.WINDOW), int), np.array([len(x) for x in windows])
         for i, x in enumerate(windows):
             index[i, : len(x)] = [words.index(w) for w in x]
         z = net.logits(table, index, sizes)
@@ -81,9 +81,9 @@ def test_recurrent_gradients():
 
 def test_windows_overlap_and_cover():
     for n in (0, 1, 24, 25, 40, 41, 100, 1001):
-        begin = toxicity.windows_of(n)
-        assert begin[0] == 0 and begin[-1] + toxicity.WINDOW >= n
-        assert all(b - a == toxicity.STRIDE for a, b in zip(begin, begin[1:]))
+        begin = gated.windows_of(n)
+        assert begin[0] == 0 and begin[-1] + gated.WINDOW >= n
+        assert all(b - a == gated.STRIDE for a, b in zip(begin, begin[1:]))
 
 
 def toxic_rows():
