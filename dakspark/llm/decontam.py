@@ -12,8 +12,9 @@ their words; beyond it both sides are shuffled by fingerprint, with the document
 k-gram alone, not its text.
 
 Defined cases: null text has no words; items with null id or without words match nothing; items that
-repeat an id count once; documents that repeat an id are told apart by their text; empty tables
-leave all documents clean; further columns are ignored.
+repeat an id count once; documents that repeat an id, or have none, are told apart by their text;
+empty tables leave all documents clean; a text of any length is looked through in blocks; further
+columns, whatever their names, stay with `drop_contaminated` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import ascii_lower, cut, maybe_broadcast
 
 WINDOW, GRAM = 13, 7
 SPAN = WINDOW - GRAM + 1
+#: A text's words are looked through in blocks of so many, which overlap by WINDOW - 1.
+BLOCK = 256
 #: Fixed value: what lies between words.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Before lower-casing.
@@ -77,7 +80,10 @@ def winnowed(df: DataFrame, hashed: str) -> DataFrame:
         .drop(hashed)
         .withColumn("_minima", window_minima("_placed"))
         .drop("_placed")
-        .withColumn("_window", F.explode(changes("_minima")))
+        .withColumn("_changes", changes("_minima"))
+        .withColumn("_window", F.explode_outer("_changes"))
+        .where(F.col("_window").isNotNull())
+        .drop("_changes")
         .withColumn("_least", F.get("_minima", F.col("_window")))
     )
     ahead = F.pmod(F.col("_least").bitwiseAND(F.lit(mask)).cast("int") - F.col("_window"), F.lit(mask + 1))
@@ -148,14 +154,11 @@ def item_keys(items: DataFrame) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_key, item_id, at, wide): an item's window occurs at word `at` (from 1)."""
+    """Rows (doc_id, text_key, n_words, item_id, at, wide): an item's window occurs at word `at` (from 1)."""
     keys = cut(item_keys(benchmark_windows(benchmark)), "benchmark-keys")
     kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())  # at most GRAM + 1
     side, small = maybe_broadcast(keys, row_bytes=600)
-    words = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", text_key().alias("text_key"), words_of(F.col("text")).alias("words")
-    )
-    hashes = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    hashes = word_blocks(docs).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     found = None
     for kind in kinds:
         k = kind or GRAM
@@ -170,6 +173,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = [
             "doc_id",
             "text_key",
+            "n_words",
+            "base",
             "place",
             "print",
             F.least(F.col("place") - 1, F.lit(SPAN - 1)).alias("doc_before"),
@@ -182,8 +187,31 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rows = places.select(*own, around.alias("doc_around")).join(side.where(F.col("kind") == kind), "print")
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id string, at int, wide int")
-    return found.select("doc_id", "text_key", "item_id", "wide", F.explode(_occurrences()).alias("at"))
+        return docs.sparkSession.createDataFrame(
+            [], "doc_id long, text_key long, n_words long, item_id string, at int, wide int"
+        )
+    found = found.withColumn("_at", _occurrences())
+    at = F.explode_outer("_at").alias("at")
+    return found.select("doc_id", "text_key", "n_words", "item_id", "wide", at).where(F.col("at").isNotNull())
+
+
+def word_blocks(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_key, n_words, base, words): the words of a text from `base` on.
+
+    Each window of the text lies whole in one block at least, and rows stay small however long a text is.
+    """
+    words = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", text_key().alias("text_key"), words_of(F.col("text")).alias("words")
+    )
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(BLOCK))
+    cut_up = F.transform(
+        starts, lambda s: F.struct(s.alias("base"), F.slice("words", s + 1, F.lit(BLOCK + WINDOW - 1)).alias("words"))
+    )
+    blocks = words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), cut_up.alias("blocks"))
+    # For explode of a column the optimizer adds a filter on its size, which would make the blocks twice.
+    return blocks.select("doc_id", "text_key", "n_words", F.explode_outer("blocks").alias("block")).select(
+        "doc_id", "text_key", "n_words", "block.base", "block.words"
+    )
 
 
 def _occurrences() -> Column:
@@ -202,47 +230,55 @@ def _occurrences() -> Column:
             )
         ),
     )
-    return F.transform(alike, lambda s: (F.col("place") - F.col("before") + s).cast("int"))
+    return F.transform(alike, lambda s: (F.col("base") + F.col("place") - F.col("before") + s).cast("int"))
+
+
+TEXT_SEED = 17
 
 
 def text_key() -> Column:
     """Tells texts under one id apart."""
-    return F.xxhash64("text", F.lit(17))
+    return F.xxhash64("text", F.lit(TEXT_SEED))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of `docs` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = docs.select("doc_id", "text")
-    hits = find_hits(docs, benchmark)
-    key = F.struct("doc_id", "text_key")
+def hit_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per text of `docs` (doc_id, text) that holds a window: key, n_words, n_items, items_sha256, n_hit, contaminated."""
     by_doc = (
-        hits.groupBy("doc_id", "text_key", "at", "wide")
+        find_hits(docs, benchmark)
+        .groupBy("doc_id", "text_key", "n_words", "at", "wide")
         .agg(F.collect_set("item_id").alias("items"))
-        .groupBy("doc_id", "text_key")
+        .groupBy("doc_id", "text_key", "n_words")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_sort(F.collect_set(F.struct("at", "wide"))).alias("runs"),
         )
         .select(
-            key.alias("key"),
+            F.struct("doc_id", "text_key").alias("key"),
+            "n_words",
             F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-            _covered(F.col("runs")).alias("n_hit"),
+            _covered(F.col("runs")).cast("long").alias("n_hit"),
         )
     )
+    return by_doc.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of `docs` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated."""
+    docs = docs.select("doc_id", "text")
+    by_doc = hit_documents(docs, benchmark).drop("n_words")
     counted = docs.select(
         "doc_id",
         count_words(F.col("text")).alias("n_words"),
         F.struct("doc_id", text_key().alias("text_key")).alias("key"),
     )
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(by_doc, counted["key"].eqNullSafe(by_doc["key"]), "left").select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
 
 
@@ -261,9 +297,14 @@ def _covered(runs: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the contaminated ones, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    """`docs` without the contaminated rows, with all columns.
+
+    A row goes for its own text only: other texts under its id, or without an id, stay.
+    """
+    bad = hit_documents(docs.select("doc_id", "text"), benchmark).where("contaminated")
+    bad, _ = maybe_broadcast(cut(bad.select(F.col("key.doc_id").alias("bad_id"), F.col("key.text_key").alias("bad_key")), "contaminated"), 24)
+    own = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"], F.lit(TEXT_SEED)) == bad["bad_key"])
+    return docs.join(bad, own, "left_anti")
 
 
 def contaminated_documents(spark, sf_dir: str) -> DataFrame:

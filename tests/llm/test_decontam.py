@@ -83,3 +83,26 @@ def test_words_that_repeat(frame):
         docs += [(10 * i + k, " ".join(own(rng.randrange(30)) + run + own(rng.randrange(30)))) for k in range(4)]
     got = decontam.contamination(frame(docs), frame(items, "item_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
+
+
+def test_rows_go_for_their_own_text(frame):
+    """Null and repeated ids: clean texts under the id of a contaminated one stay; extra columns may clash."""
+    long = " ".join(f"w{i}" for i in range(15))
+    rows = [(None, long, 1), (None, "clean words here", 2), (5, long, 3), (5, "other clean text", 4), (1, "clean", 5), (2, None, 6)]
+    docs = frame(rows, "doc_id long, text string, bad_id int")
+    kept = decontam.drop_contaminated(docs, frame([(1, long)], "item_id long, text string"))
+    assert sorted(r["bad_id"] for r in kept.collect()) == [2, 4, 5, 6] and kept.columns == docs.columns
+
+
+def test_long_texts_cost_their_length(frame):
+    """Blocks are bounded, so that a window at any place of a long text is found, short items among them."""
+    rng = random.Random(9)
+    words = [f"o{rng.randrange(10**5)}" for _ in range(3000)]
+    items = [(1, "rare pair"), (2, " ".join(f"i{k}" for k in range(20)))]
+    for at in (0, 250, 255, 256, 257, 1500, 2985):
+        words[at : at + 2] = ["rare", "pair"]
+    for at in (240, 500, 1020, 2970):
+        words[at : at + 20] = [f"i{k}" for k in range(20)]
+    docs = [(1, " ".join(words))]
+    got = decontam.contamination(frame(docs), frame(items, "item_id long, text string"))
+    assert [tuple(r) for r in got.collect()] == brute(docs, items)
