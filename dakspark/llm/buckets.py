@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_at, drop_path, maybe_broadcast
+from .common import Scratch, cut_at, drop_path, maybe_broadcast, release
 from .components import connected_components
 
 LEADER_ROUNDS = 3
@@ -30,15 +30,18 @@ def link_buckets(
     enrich: Callable[[DataFrame], DataFrame] | None = None,
     worth: Callable[[Column, Column, Column], Column] | None = None,
     prepare: Callable[[DataFrame], None] | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Components (node, component) of the items that `confirm` links; items without a link have no row.
 
     `keys` has key, id, n, where rows may repeat; pairs with `near(n, n)` false are never tried; `refine` may drop pairs by a
     cheap test (which `worth` does in the last round), `confirm` keeps those that are links.  For the last, full round, `enrich(ids)` gives
     (id, more) and `worth(key, more, more)` tells if a pair of a bucket can still be a link.  `prepare(ids)`
-    is called once with all items that share a bucket, before any are tried.
+    is called once with all items that share a bucket, before any are tried.  Tables that later plans read
+    go to `scratch`, for the caller to drop.
     """
     spark = keys.sparkSession
+    scratch = scratch or Scratch(spark)
     # Buckets with more than one item; most items have none, and thin rows of few buckets may fit a broadcast.
     full = keys.groupBy("key").agg(F.min("id").alias("l"), F.max("id").alias("h")).where("l < h").select("key")
     full, full_path = cut_at(full, "buckets")
@@ -86,13 +89,14 @@ def link_buckets(
         fresh = found.select(*pair).distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh, _ = cut_at(fresh if turn == LEADER_ROUNDS and worth is not None else refine(fresh), "pairs")
+        fresh = scratch.cut(fresh if turn == LEADER_ROUNDS and worth is not None else refine(fresh), "pairs")
         tried = fresh if tried is None else tried.unionByName(fresh)
         if not fresh.isEmpty():
             links = confirm(fresh)
             if parts is not None:
                 links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            parts = connected_components(links)
+            parts = connected_components(links, scratch=scratch)
+        release(spark)
         if turn == LEADER_ROUNDS:
             break
         now = split.drop("c") if parts is not None else split
@@ -108,5 +112,4 @@ def link_buckets(
         drop_path(spark, lead_path)
     if parts is None:
         return keys.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    parts, _ = cut_at(parts, "components")
-    return parts
+    return scratch.cut(parts, "components")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and kept in the session.
+    Only where that is unset and the master is local (tests, one machine) a temporary folder is made and
+    kept in the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.dakspark.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="dakspark-")
         spark.conf.set("spark.dakspark.shared.dir", found)
     return found
@@ -54,6 +58,30 @@ def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """The written tables of one job, to be dropped when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = cut_at(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths.clear()
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps, which it does once the driver forgets their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """`df`, a table that is already written, marked for broadcast only if its counted rows fit the limit."""
     small = df.count() * row_bytes <= limit

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_at, drop_path
+from .common import Scratch, cut_at, drop_path
 
 
 def _linked(edges: DataFrame) -> DataFrame:
@@ -42,10 +42,11 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("down").alias("d"), F.max("up").alias("u")).where("d > 1 OR (d = 1 AND u = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_steps: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Rows (node, component) of all nodes with edges (a, b); a component is its smallest node.
 
-    Nulls and loops in `edges` are left out; repeated edges count once.
+    Nulls and loops in `edges` are left out; repeated edges count once.  The last table, which the result
+    reads, goes to `scratch`, if given, for the caller to drop.
     """
     spark = edges.sparkSession
     now, path = cut_at(_linked(edges.select("a", "b")).distinct(), "edges")
@@ -57,5 +58,7 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         now, path = nxt, new_path
     else:
         raise RuntimeError("components did not settle")
+    if scratch is not None:
+        scratch.paths.append(path)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

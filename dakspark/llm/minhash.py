@@ -12,8 +12,10 @@ possible by an exact bound, the shingles that no other such document has; the ot
 their full sets.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; null ids are
-left out; rows that repeat an id are one document, with the shingles of the smallest of its texts;
-further columns are ignored.
+left out of `near_duplicates` and stay with `drop_near_duplicates`; rows that repeat an id are one
+document, with the shingles of the smallest of its texts (by size and hash), and only rows of that text
+go with it: other texts under the id, which were not compared, stay; an empty table gives no rows;
+further columns, whatever their names, stay with `drop_near_duplicates` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets
-from .common import cut_at, drop_path, maybe_broadcast
+from .common import Scratch, cut_at, drop_path, maybe_broadcast
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 48, 16, 12, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 WIDE = SYMBOLS // CHUNKS
 #: Slots of shingle hashes that bound what two sets can have in common.
 SLOTS = 64
+TEXT_SEED = 61
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +124,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def _text_key() -> Column:
     """Tells the texts of a repeated id apart."""
-    return F.xxhash64("text", F.lit(61))
+    return F.xxhash64("text", F.lit(TEXT_SEED))
 
 
 def _packed(sign: Column, chunk: int) -> Column:
@@ -166,8 +169,8 @@ def _near_in_size(a: Column, b: Column, percent: int) -> Column:
 class _Confirmer:
     """Confirms pairs of classes on their full sets."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width, self.percent = docs, width, percent
+    def __init__(self, docs: DataFrame, width: int, percent: int, scratch: Scratch):
+        self.docs, self.width, self.percent, self.scratch = docs, width, percent, scratch
 
     def shingles(self, ids: DataFrame) -> DataFrame:
         """Rows (id, s) of the sets of the documents in `ids`."""
@@ -183,7 +186,7 @@ class _Confirmer:
                     }
                 )
 
-        own, _ = cut_at(ids.select(F.col("id").alias("doc_id")), "wanted")
+        own = self.scratch.cut(ids.select(F.col("id").alias("doc_id")), "wanted")
         own, _ = maybe_broadcast(own, row_bytes=16)
         return self.docs.join(own, "doc_id", "left_semi").mapInPandas(pieces, "id long, s long").distinct()
 
@@ -216,19 +219,20 @@ class _Confirmer:
         joined = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(
             own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a"
         )
-        links, _ = cut_at(joined.select("a", "b", "sa", "sb").mapInPandas(confirm, "a long, b long"), "links")
+        links = self.scratch.cut(joined.select("a", "b", "sa", "sb").mapInPandas(confirm, "a long, b long"), "links")
         drop_path(self.docs.sparkSession, path)
         return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document of `docs` (doc_id, text): n_shingles, component_id, kept."""
+    """Per document of `docs` (doc_id, text): n_shingles, component_id, kept; and tkey, of the text that was compared."""
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    scratch = Scratch(spark)
     known, known_path = cut_at(sketches(docs, width), "sketches")
     first = F.min(F.struct("n_shingles", "set_a", "set_b", "sign", "tkey"))
     # Ids that repeat are rare: they are merged by a pre-summed aggregate of thin rows.
-    whole, _ = cut_at(known.groupBy("doc_id").agg(first.alias("k")).select("doc_id", "k.*"), "whole")
+    whole = scratch.cut(known.groupBy("doc_id").agg(first.alias("k")).select("doc_id", "k.*"), "whole")
     if whole.count() < known.count():
         # Only then are texts moved: of each id's texts the chosen one stays.
         chosen = whole.select("doc_id", F.col("tkey").alias("_tkey"))
@@ -240,8 +244,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.min(F.struct("doc_id", "sign")).alias("k"))
         .select(F.col("k.doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("k.sign").alias("sign"), "set_a", "set_b")
     )
-    classes, _ = cut_at(classes, "classes")
-    confirm = _Confirmer(docs, width, percent)
+    classes = scratch.cut(classes, "classes")
+    confirm = _Confirmer(docs, width, percent, scratch)
 
     keys = classes.select("id", "n", F.explode(chunk_keys(F.col("sign"))).alias("key"))
     signs = classes.select("id", F.array(*[_packed(F.col("sign"), c) for c in range(CHUNKS)]).alias("chunks"))
@@ -266,7 +270,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         filled = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
         rows = classes.join(ids, "id", "left_semi").join(counts.select("id", "others", filled.alias("slots")), "id")
         more = F.struct("n", "others", "slots", *[_packed(F.col("sign"), c).alias(f"c{c}") for c in range(CHUNKS)])
-        return cut_at(rows.select("id", more.alias("more")), "enriched")[0]
+        return scratch.cut(rows.select("id", more.alias("more")), "enriched")
 
     def worth(key: Column, x: Column, y: Column) -> Column:
         """Signatures within RADIUS, no earlier bucket with both, and enough shingles that can be common.
@@ -287,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             first = F.when(apart[c] <= ERRORS, here).otherwise(first)
         return some & (sum(apart) <= RADIUS) & first & enough
 
-    parts = link_buckets(keys, confirm, lambda x, y: _near_in_size(x, y, percent), within_radius, enrich, worth)
+    parts = link_buckets(keys, confirm, lambda x, y: _near_in_size(x, y, percent), within_radius, enrich, worth, scratch=scratch)
     root = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         "n", "set_a", "set_b", F.coalesce("component", "id").alias("root")
     )
@@ -296,22 +300,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     # A class is named by its smallest document, so the root is the component's smallest.
     component = F.coalesce("root", "doc_id")
-    return member.select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+    named, _ = cut_at(
+        member.select(
+            "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), "tkey"
+        ),
+        "named",
     )
+    scratch.drop()
+    return named
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each group, the one of the smallest id; all columns stay.
 
-    Documents without an id stay; of rows that repeat a kept id all stay.
+    Rows without an id stay, of rows that repeat a kept id all stay, and a row goes only with its own text.
     """
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key"))
+    own = (docs["doc_id"] == gone["gone_id"]) & F.xxhash64(docs["text"], F.lit(TEXT_SEED)).eqNullSafe(gone["gone_key"])
+    return docs.join(gone, own, "left_anti")
 
 
 def near_duplicate_documents(spark, sf_dir: str) -> DataFrame:
     """op1: shingles of four words, similarity of 0.8 or more."""
     from .common import read_table
 
-    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=4).drop("tkey")

@@ -68,3 +68,11 @@ def test_empty_and_clashing_columns(frame):
 def test_repeated_ids(frame, ids):
     rows = [(ids[0], "a b c d e"), (ids[1], "a b c d e"), (ids[2], "a b c d e")]
     assert run(frame(rows)) == {1: (2, 1, True), 2: (2, 1, False)}
+
+
+def test_rows_go_for_their_own_text(frame):
+    """Texts under a null or repeated id that were not compared stay."""
+    copy = "a b c d e f"
+    rows = [(1, copy, 1), (2, copy, 2), (2, copy + " and other words after it", 3), (None, copy, 4), (None, "x", 5), (3, None, 6)]
+    out = drop_near_duplicates(frame(rows, "doc_id long, text string, gone_id int"))
+    assert sorted(r["gone_id"] for r in out.collect()) == [1, 3, 4, 5, 6]
