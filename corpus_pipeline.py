@@ -2,6 +2,12 @@
 
 Toxic documents go, repeated lines are removed, one document of each group of near copies stays,
 documents that hold benchmark passages go, and the rest is tokenised and packed.
+
+Defined cases: a row is judged by its own text in every stage, so null and repeated ids lose nothing that
+is clean; a null text has no lines, shingles or words, stays, and is packed as its end id alone; rows that
+repeat id and text are handled alike, and near_dedup keeps all rows of a kept document; a document that
+loses all lines stays with an empty text; an empty table gives empty tables and no windows; further
+columns, whatever their names, stay up to packing.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of at most 2048 ids."""
-    return packing.pack_query(docs)
+    """Pieces of windows of at most 2048 ids, with their ids and the ids' checksum."""
+    return packing.pack_query(docs, keep_ids=True)
 
 
 STAGES = [
