@@ -232,11 +232,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_query(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The pieces of `docs` with the checksum of their ids instead of the ids."""
+def pack_query(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """The pieces of `docs` with the checksum of their ids, and the ids (little-endian uint32) if asked for."""
     path = vocabulary or default_vocabulary()
     return pack_documents(docs, lambda: word_encoder(path)).select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         "start",
         "length",
         F.crc32("ids").alias("ids_crc32"),
