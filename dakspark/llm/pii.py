@@ -5,36 +5,54 @@ by a keyed Feistel network within its own format, so the pseudonym is valid as w
 equal pseudonyms in every document, and different ones stay different.  Nothing is looked up or
 shuffled: the pseudonym is a function of key and value.
 
-Kinds: `card` (13 to 19 digits with a right Luhn digit), `phone` (digits of a number written with +),
-`ip` (four numbers up to 255), `ssn` (AAA-GG-SSSS with allowed areas), `iban` (right check digits),
-`date` (yyyy-mm-dd in DATE_DAYS days from DATE_FROM), `email` (letters and digits of the name and of the
-host, in lower case; signs and the ending stay).
+Kinds: `card` (13 to 19 digits in a row, or in fours, or 4-6-5 and 4-6-4, with a right Luhn digit),
+`phone` (a number written with +, whose country follows from its digits, so that separators don't
+matter; or ten digits as (212) 555-0123, 212-555-0123, 212.555.0123, which are country 1's), `ip` (four
+numbers up to 255), `ssn` (AAA-GG-SSSS with allowed areas), `iban` (right check digits, in one piece or
+in blocks of four), `date` (yyyy-mm-dd, mm/dd/yyyy, dd.mm.yyyy in DATE_DAYS days from DATE_FROM: one day
+has one pseudonym in all three), `email` (letters and digits of the name and of the host, in lower
+case; signs and the ending stay).
+
+The key comes from the session's configuration (KEY_CONF) or the caller.  Without one a random key is
+made for the session: pseudonyms then link within it only.
 
 Defined cases: null text stays null; a value that fails validation stays as it is; overlapping shapes
 are taken from the left; rows that repeat an id are handled each on its own; an empty table stays
-empty; all columns stay.
+empty; all columns stay, and where a column `pii` is there already, the new one has the first free
+name of `pii_1`, `pii_2`, ...
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+KEY_CONF = "spark.dakspark.pii.key"
 DATE_FROM, DATE_SIDE = "1900-01-01", 270
 DATE_DAYS = DATE_SIDE * DATE_SIDE
 
 #: Shapes, the first that fits from the left; none touches a letter, digit or joining sign outside.
 SHAPES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+(?:1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-    r"|[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-])",
+    r"|[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9]|\.[0-9])"
+    r"|(?<![A-Za-z0-9+.(-])(?:\([2-9][0-9]{2}\) ?[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}\.[0-9]{3}\.[0-9]{4})(?![0-9-]|\.[0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])",
+    "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3}(?![0-9/.]))?|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}"
+    r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9]|-[0-9])",
 }
+# The country codes of two digits; those that begin with 1 or 7 have one digit, all others three.
+TWO_DIGIT_COUNTRIES = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52",
+    "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92",
+    "93", "94", "95", "98",
+)
 ANY = "|".join(f"(?:{x})" for x in SHAPES.values())
 
 
@@ -127,6 +145,28 @@ def _spread(pattern: Column, digits: Column) -> Column:
     )
 
 
+def _spaced(pattern: Column, signs: Column) -> Column:
+    """`signs` with the spaces of `pattern`."""
+    return F.aggregate(
+        F.split(pattern, ""),
+        F.struct(F.lit(0).alias("i"), F.lit("").alias("s")),
+        lambda had, c: F.when(c == " ", F.struct(had["i"].alias("i"), F.concat(had["s"], c).alias("s"))).otherwise(
+            F.struct((had["i"] + 1).alias("i"), F.concat(had["s"], F.substr(signs, had["i"] + 1, F.lit(1))).alias("s"))
+        ),
+        lambda end: end["s"],
+    )
+
+
+def _day(value: Column) -> Column:
+    """The day of a date in one of its three forms, null if there is none."""
+    return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "MM/dd/yyyy"), F.try_to_date(value, "dd.MM.yyyy"))
+
+
+def country_length(digits: Column) -> Column:
+    """How many of a phone number's digits are its country's code."""
+    return F.when(F.substring(digits, 1, 1).isin("1", "7"), 1).when(F.substring(digits, 1, 2).isin(*TWO_DIGIT_COUNTRIES), 2).otherwise(3)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -136,15 +176,15 @@ def kind_of(value: Column) -> Column:
     digits = _digits(value)
     out = F.lit(None).cast("string")
     parts = F.split(value, "\\.")
-    day = F.try_to_date(value, "yyyy-MM-dd")
-    days = F.datediff(day, F.lit(DATE_FROM).cast("date"))
+    days = F.datediff(_day(value), F.lit(DATE_FROM).cast("date"))
+    bare = F.replace(value, F.lit(" "), F.lit(""))
     checks = {
         "card": (luhn_sum(digits) % 10 == 0) & ~value.contains("+") & F.char_length(digits).between(13, 19),
         "ip": F.forall(parts, lambda x: F.coalesce(x.try_cast("int"), F.lit(999)) <= 255),
         "ssn": ~value.rlike("^(000|666|9..)|-00-|-0000$"),
         "date": F.coalesce(days.between(0, DATE_DAYS - 1), F.lit(False)),
-        "phone": F.char_length(digits).between(8, 15),
-        "iban": _mod97(_iban_number(value)) == 1,
+        "phone": F.char_length(digits).between(8, 15) & F.when(value.startswith("+1"), digits.rlike("^1[2-9][0-9]{9}$")).otherwise(True),
+        "iban": F.char_length(bare).between(15, 34) & (_mod97(_iban_number(bare)) == 1),
         "email": F.lit(True),
     }
     for kind in reversed(SHAPES):
@@ -184,16 +224,21 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         )
 
     def date() -> Column:
-        days = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(DATE_FROM).cast("date")).cast("long")
+        days = F.datediff(_day(value), F.lit(DATE_FROM).cast("date")).cast("long")
         side = F.lit(DATE_SIDE).cast("long")
         start = F.struct(F.floor(days / DATE_SIDE).cast("long").alias("l"), (days % DATE_SIDE).alias("r"))
+
+        def shown(day: Column) -> Column:
+            slashed, dotted = F.date_format(day, "MM/dd/yyyy"), F.date_format(day, "dd.MM.yyyy")
+            return F.when(value.contains("/"), slashed).when(value.contains("."), dotted).otherwise(day.cast("string"))
+
         return F.aggregate(
             F.array(start),
             F.lit(""),
             lambda _, s0: F.aggregate(
                 F.array(_rounds(s0, side, side, key, F.lit("date"))),
                 F.lit(""),
-                lambda _, s: F.date_add(F.lit(DATE_FROM).cast("date"), (s["l"] * DATE_SIDE + s["r"]).cast("int")).cast("string"),
+                lambda _, s: shown(F.date_add(F.lit(DATE_FROM).cast("date"), (s["l"] * DATE_SIDE + s["r"]).cast("int"))),
             ),
         )
 
@@ -222,17 +267,34 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         )
 
     def phone() -> Column:
-        """The country's digits and the first of the rest stay, so the number stays a number of its plan."""
-        lead = F.char_length(F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))
-        rest = F.substr(digits, lead + 1, n - lead)
-        country = F.substr(digits, F.lit(1), lead)
-        return _spread(value, F.concat(country, digits_permuted(rest, key, F.concat(F.lit("phone"), country))))
+        """The country stays; in country 1 areas from 200 to 999 move among each other, and the seven digits behind them."""
+        whole = F.when(value.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits))
+        lead = country_length(whole)
+        country, rest = F.substr(whole, F.lit(1), lead), F.substr(whole, lead + 1, n)
+        start = F.struct(
+            (F.substring(rest, 1, 3).try_cast("long") - 200).alias("l"), F.substring(rest, 4, 7).try_cast("long").alias("r")
+        )
+        sizes = F.lit(800).cast("long"), F.lit(10_000_000).cast("long")
+        north = F.aggregate(
+            F.array(start),
+            F.lit(""),
+            lambda _, s0: F.aggregate(
+                F.array(_rounds(s0, *sizes, key, F.lit("phone1"))),
+                F.lit(""),
+                lambda _, s: F.concat((s["l"] + 200).cast("string"), F.lpad(s["r"].cast("string"), 7, "0")),
+            ),
+        )
+        moved = F.when((country == "1") & rest.rlike("^[2-9][0-9]{9}$"), north).otherwise(
+            digits_permuted(rest, key, F.concat(F.lit("phone"), country))
+        )
+        return _spread(value, F.when(value.startswith("+"), F.concat(country, moved)).otherwise(moved))
 
     def iban() -> Column:
-        country, body = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(5))
+        bare = F.replace(value, F.lit(" "), F.lit(""))
+        country, body = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5))
         moved = _spread(body, digits_permuted(_digits(body), key, F.concat(F.lit("iban"), country)))
         check = F.lit(98) - _mod97(_iban_number(F.concat(country, F.lit("00"), moved)))
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), moved)
+        return _spaced(value, F.concat(country, F.lpad(check.cast("string"), 2, "0"), moved))
 
     def email() -> Column:
         """Letters move among letters and digits among digits: the name by the host, then the host by the name, in turn."""
@@ -288,26 +350,36 @@ def found_values(text: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The configured key; without one a random key, which the session then keeps."""
+    if not spark.conf.get(KEY_CONF, None):
+        spark.conf.set(KEY_CONF, secrets.token_hex(16))
+    return spark.conf.get(KEY_CONF)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """`docs` with the valid values of `column` replaced, and with the column `pii`: (value, kind, pseudonym)."""
-    found = docs.withColumn("_found", found_values(F.col(column), key))
+    key = key or session_key(docs.sparkSession)
+    have = {c.lower() for c in docs.columns}
+    name = next(x for x in ("pii", *(f"pii_{i}" for i in range(1, len(have) + 2))) if x not in have)
+    found = docs.withColumn(name, found_values(F.col(column), key))
     between = F.split(F.col(column), ANY, -1)
-    filled = F.transform(F.col("_found"), lambda x: F.coalesce(x["pseudonym"], x["value"]))
+    filled = F.transform(F.col(name), lambda x: F.coalesce(x["pseudonym"], x["value"]))
     text = F.concat(
         F.array_join(
             F.transform(
-                F.arrays_zip(F.slice(between, F.lit(1), F.size("_found")).alias("a"), filled.alias("b")),
+                F.arrays_zip(F.slice(between, F.lit(1), F.size(name)).alias("a"), filled.alias("b")),
                 lambda x: F.concat(x["a"], x["b"]),
             ),
             "",
         ),
         F.element_at(between, -1),
     )
-    plain = F.coalesce(F.size("_found") == 0, F.lit(True))
-    return found.withColumn(column, F.when(plain, F.col(column)).otherwise(text)).withColumnRenamed("_found", "pii")
+    plain = F.coalesce(F.size(name) == 0, F.lit(True))
+    return found.withColumn(column, F.when(plain, F.col(column)).otherwise(text))
 
 
-def pseudonymised_documents(spark, sf_dir: str, key: str = "document pseudonyms") -> DataFrame:
+def pseudonymised_documents(spark, sf_dir: str, key: str | None = None) -> DataFrame:
     """op6: every document with its pseudonymised text and what was replaced, by kind."""
     from .common import read_table
 

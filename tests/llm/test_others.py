@@ -65,11 +65,65 @@ def test_pseudonyms_are_a_permutation(spark, shape):
         value = F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string"))
     else:
         value = F.concat(F.lit("123-45-"), F.lpad((F.col("id") + 1).cast("string"), 4, "0"))
-    rows = spark.range(3000).select(value.alias("v")).select("v", pii.pseudonym(F.col("v"), pii.kind_of(F.col("v")), "k").alias("p"))
-    assert rows.where("p IS NULL").count() == 0 and rows.select("p").distinct().count() == 3000
+    found = spark.range(1000).select(value.alias("v")).select(pii.found_values(F.col("v"), "k")[0].alias("x")).select("x.*").collect()
+    rows = spark.createDataFrame([(x["value"], x["pseudonym"]) for x in found], "v string, p string")
+    assert rows.where("p IS NULL").count() == 0 and rows.select("p").distinct().count() == 1000
     assert rows.where(pii.kind_of(F.col("p")).isNull()).count() == 0
 
 
+def twin(left, right, sizes, tag, key="k"):
+    """The Feistel network in plain Python."""
+    half = [left, right]
+    for i in range(pii.ROUNDS):
+        seed = f"{key}|{tag}|{i}|{half[1 - i % 2]}"
+        noise = int(hashlib.sha256(seed.encode()).hexdigest()[:15], 16)
+        half[i % 2] = (half[i % 2] + noise) % sizes[i % 2]
+    return half
+
+
+def pseudonyms(frame, values):
+    rows = pii.pseudonymise(frame([(i, v) for i, v in enumerate(values)]), "k").collect()
+    return {values[r["doc_id"]]: r["text"] for r in rows}
+
+
+def test_feistel_against_python(frame):
+    from datetime import date, timedelta
+
+    days = [date(1999, 12, 31), date(2020, 2, 29), date(1900, 1, 1)]
+    values = [f"{d:%Y-%m-%d}" for d in days] + [f"{d:%m/%d/%Y}" for d in days] + [f"{d:%d.%m.%Y}" for d in days]
+    got = pseudonyms(frame, values)
+    for d in days:
+        n = (d - date(1900, 1, 1)).days
+        a, b = twin(n // 270, n % 270, (270, 270), "date")
+        new = date(1900, 1, 1) + timedelta(days=a * 270 + b)
+        assert [got[f"{d:{f}}"] for f in ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y")] == [f"{new:{f}}" for f in ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y")]
+    a, b = twin(415 - 200, 5552671, (800, 10**7), "phone1")
+    national = f"{a + 200}{b:07d}"
+    forms = ["+1 415 555 2671", "+1-415-555-2671", "+14155552671", "(415) 555-2671", "415-555-2671", "415.555.2671"]
+    got = pseudonyms(frame, forms)
+    assert {re.sub(r"\D", "", got[f])[-10:] for f in forms} == {national}
+    assert all(re.sub("[0-9]", "9", got[f]) == re.sub("[0-9]", "9", f) for f in forms)
+    forms = ["+442079460958", "+44 20 7946 0958", "+44 (20) 7946-0958"]
+    assert len({re.sub(r"\D", "", x) for x in pseudonyms(frame, forms).values()}) == 1
+    a, b = twin(4111111, 11111111, (10**7, 10**8), "card15")
+    (card,) = pseudonyms(frame, ["4111 1111 1111 1111"]).values()
+    assert luhn(re.sub(r"\D", "", card)) and re.sub(r"\D", "", card)[:-1] == f"{a:07d}{b:08d}"
+
+
+def test_values_beside_others(frame):
+    """Cards beside other numbers, IBANs in blocks, and what isn't valid."""
+    card, iban = "4111111111111111", "GB82 WEST 1234 5698 7654 32"
+    texts = ["4111 1111 1111 1111 12/26", f"{card} 123", f"50 {card}", f"pay {iban} now", "13/31/2020", "32.01.2020", "4111 1111 1111 1112"]
+    rows = pii.pseudonymise(frame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, pii int, _found int"), "k")
+    assert rows.columns == ["doc_id", "text", "pii", "_found", "pii_1"]
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert [x["kind"] for i in range(4) for x in got[i]["pii_1"] if x["kind"]] == ["card", "card", "card", "iban"]
+    assert got[0]["text"].endswith(" 12/26") and got[1]["text"].endswith(" 123") and got[2]["text"].startswith("50 ")
+    new = got[3]["text"].removeprefix("pay ").removesuffix(" now")
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", new) and new != iban
+    assert [got[i]["text"] for i in (4, 5, 6)] == texts[4:]
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -79,7 +133,8 @@ def pieces(text):
 
 
 def test_fingerprints(frame, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 3)
+    monkeypatch.setattr(fingerprint, "COARSE", 4)
     rng = random.Random(6)
     line = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 6))) + rng.choice([".", "", "!"])
     rows = [(i * i, "\n".join(line() for _ in range(rng.choice([0, 1, 5, 40, 300])))) for i in range(40)] + [(5, None), (7, "é" * 900)]
@@ -98,6 +153,23 @@ def test_fingerprints(frame, monkeypatch):
         assert seen.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
 
 
+def test_next_of_hot_ids(frame, monkeypatch):
+    """A third of the rows has one id, a third has none: ranges are cut by their texts."""
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 5)
+    monkeypatch.setattr(fingerprint, "COARSE", 6)
+    low = -(2**63)
+    rows = [(7, f"a{i}") for i in range(40)] + [(None, f"n{i}") for i in range(40)] + [(i * 3 - 50, f"t{i}") for i in range(40)] + [(low, "least"), (low + 1, "second")]
+    got = {r["text"]: r["next_text"] for r in fingerprint.with_next(frame(rows)).collect()}
+    seen, text = [], "t39"
+    for _ in rows:
+        seen.append(text)
+        text = got[text]
+    assert text == "t39" and len(set(seen)) == len(rows)
+    ids = [{t: d for d, t in rows}[t] for t in seen]
+    known = [x for x in ids if x is not None]
+    assert known == sorted(known, reverse=True) and ids[len(known) :] == [None] * 40
+
+
 def test_fingerprint_edges(frame):
     one = fingerprint.fingerprints(frame([(1, "a b.")])).first()
     assert one["near_next"] == 1.0
