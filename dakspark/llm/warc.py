@@ -6,15 +6,16 @@ writer, one record per row, so a lost task is written again and a half-written f
 
 Defined cases: null payload = empty payload; null url = no target URI; a row with a null id is a
 response and is never referred to; rows that repeat the smallest id are all responses; an empty
-table gives an archive without records; further columns are ignored.
+table gives an archive without records; archives of any size are read as streams; a record that is cut off
+or has no header is an error; further columns are ignored.  A file is one gzip stream, as Spark writes it.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 EPOCH = "2024-01-01T00:00:00Z"
+#: What ends headers and records; the bytes that a reader joins at a time; the payloads that a file is to hold.
+END, PIECE_BYTES, FILE_BYTES = b"\r\n\r\n", 1 << 20, 256 << 20
 RECORDS = (
     "page_id long, record_type string, payload_digest string, refers_to long, target_uri string, "
     "payload binary, payload_bytes long, payload_ok boolean, file string"
@@ -121,9 +124,14 @@ def record_text(date: str = EPOCH) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, smallest: int = 0, records_per_file: int = 50_000) -> None:
-    """Writes `pages` (page_id, url, html) as gzipped WARC files under `path`, each payload once."""
+def write_archives(pages: DataFrame, path: str, smallest: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes `pages` (page_id, url, html) as gzipped WARC files under `path`, each payload once.
+
+    Files end after as many records as have about `file_bytes` of payloads by their mean.
+    """
     pages = pages.select("page_id", "url", "html")
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 600)).first()[0] or 1
+    records_per_file = max(1, int(file_bytes / mean))
     known = pages.where(F.col("page_id").isNotNull())
     heads = resolve_revisits(known, smallest).distinct()
     body = F.coalesce(F.col("html"), F.lit(""))
@@ -149,54 +157,98 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0, records_per_f
     )
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and the block of each record, by its Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers and the block of each record, by its Content-Length, of bytes that come in pieces.
+
+    No more is held than a record and a piece.
+    """
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal held, at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        if at:
+            del held[:at]
+            at = 0
+        held += piece
+        return True
+
+    while True:
+        # Behind the last record, whose end may lie across a break, there can be empty lines.
+        while held[at : at + 2] == b"\r\n":
+            at += 2
+        while (end := held.find(END, at)) < 0:
+            if not more():
+                if held[at:].strip():
+                    raise ValueError("a record without an end")
+                return
+        lines = held[at:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at {lines[0][:40]!r}")
         heads = dict(x.split(": ", 1) for x in lines[1:])
         size = int(heads["Content-Length"])
-        yield heads, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        begin = end + 4 - at
+        while len(held) < at + begin + size + 4:
+            if not more():
+                raise ValueError("a record is cut off")
+        yield heads, bytes(held[at + begin : at + begin + size])
+        at += begin + size + 4
 
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record of the archives under `path`; payload_ok tells if the digest is the payload's."""
-
-    def records(batches):
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                out = []
-                for heads, block in parse_records(gzip.decompress(content)):
-                    front, _, payload = block.partition(b"\r\n\r\n")
-                    kind, digest = heads["WARC-Type"], heads["WARC-Payload-Digest"].removeprefix("sha1:")
-                    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    stated = int(front.rpartition(b"Content-Length: ")[2])
-                    page, refers = heads.get("X-Page-Id"), heads.get("X-Refers-To-Page-Id")
-                    out.append(
-                        (
-                            int(page) if page else None,
-                            kind,
-                            digest,
-                            int(refers) if refers else None,
-                            heads.get("WARC-Target-URI"),
-                            payload if payloads and kind == "response" else None,
-                            stated,
-                            kind == "revisit" or (own == digest and stated == len(payload)),
-                            name,
-                        )
+    """One row per record of the archives under `path`; payload_ok tells if the digest is the payload's.
+
+    Spark's text reader unpacks a file as a stream, in pieces between empty lines, so a task holds a few pieces and one
+    record, however large an archive is.  A file is read by one task, in its order.
+    """
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for name, pieces in groupby(_pieces(batches), lambda x: x[0]):
+            for heads, block in parse_records(piece for _, piece in pieces):
+                front, _, payload = block.partition(END)
+                kind, digest = heads["WARC-Type"], heads["WARC-Payload-Digest"].removeprefix("sha1:")
+                own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                stated = int(front.rpartition(b"Content-Length: ")[2])
+                page, refers = heads.get("X-Page-Id"), heads.get("X-Refers-To-Page-Id")
+                out.append(
+                    (
+                        int(page) if page else None,
+                        kind,
+                        digest,
+                        int(refers) if refers else None,
+                        heads.get("WARC-Target-URI"),
+                        payload if payloads and kind == "response" else None,
+                        stated,
+                        kind == "revisit" or (own == digest and stated == len(payload)),
+                        name,
                     )
-                    if len(out) >= 2000:
-                        yield _frame(out)
-                        out = []
-                if out:
+                )
+                if len(out) >= 200:
                     yield _frame(out)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(records, RECORDS)
+                    out = []
+        if out:
+            yield _frame(out)
+
+    lines = spark.read.option("lineSep", END.decode()).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")).mapInPandas(records, RECORDS)
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
+    """A file's bytes in pieces, the breaks between them included."""
+    for batch in batches:
+        for name, rows in groupby(zip(batch["path"], batch["piece"]), lambda x: x[0]):
+            held, size = [], 0
+            for _, piece in rows:
+                held.append(piece)
+                size += len(piece) + 4
+                if size >= PIECE_BYTES:
+                    yield name, END.join(held) + END
+                    held, size = [], 0
+            if held:
+                yield name, END.join(held) + END
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

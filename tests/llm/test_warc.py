@@ -35,3 +35,26 @@ def test_small_payloads_and_repeats(spark):
     got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in run(spark, rows, smallest=4))
     assert got == [(1, "response", None), (2, "response", None), (3, "response", None), (3, "response", None), (4, "revisit", 3)]
     assert run(spark, []) == []
+
+
+def test_pieces_and_small_files(spark, monkeypatch):
+    """Archives in many files and pieces; payloads that end in or hold what ends a record."""
+    monkeypatch.setattr(warc, "PIECE_BYTES", 7)
+    bodies = ["", "\r\n", "x\r\n", "x\r\n\r\n", "\r\n\r\n\r\nWARC/1.1\r\n", "\n\r\n\r", "é" * 500]
+    rows = [(i, f"u{i}", b, "") for i, b in enumerate(bodies * 3)]
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path, file_bytes=3000)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).count() > 3
+    got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == len(rows) and all(r["payload_ok"] for r in got.values())
+    for page, body in enumerate(bodies):
+        assert bytes(got[page]["payload"]) == body.encode() and got[page + 7]["refers_to"] == page
+
+
+def test_records_cut_off():
+    import pytest
+
+    with pytest.raises(ValueError):
+        list(warc.parse_records(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(iter([b"HTTP/1.1\r\n\r\n"])))
