@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe_broadcast
 
 #: A line, or each six sentences of a longer one.
 PARAGRAPH = "(?:[^\\n.!?]*[.!?]+ *){1,6}|[^\\n.!?]+"
@@ -28,8 +28,8 @@ CELLS, GROUP_CELLS = 12, (4, 16)
 #: Digests that a group of the retries is expected to hold.
 GROUP_SIZE = 4
 ROUNDS = 6
-#: Bounds on the ranges of ids, whose edges come to the driver.
-ROWS_PER_RANGE, MAX_RANGES = 5_000, 4096
+#: Rows that a range of ids is to hold, and the quantiles of ids that come to the driver.
+ROWS_PER_RANGE, COARSE = 5_000, 128
 
 
 def digests(text: Column) -> Column:
@@ -187,55 +187,82 @@ def fingerprint_text(cells: Column, count: Column) -> Column:
     return F.concat(F.lpad(F.hex(count.cast("long")), 8, "0"), F.array_join(hexed, ""))
 
 
+def _within(edges: list[int], found: Column) -> Column:
+    """How many of the sorted edges are below a value: a balanced tree of comparisons."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(found > edges[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
+
+    return tree(0, len(edges))
+
+
+def _ranges(rows: DataFrame, total: int) -> DataFrame:
+    """`rows` (doc_id, text, tie) with coarse and fine, whose order is that of descending id and rising tie.
+
+    Coarse ranges are cut at COARSE quantiles of the ids, which the driver learns.  Each is cut evenly, by ids, into as
+    many fine ones as its count asks for, and an id that fills a coarse range of its own, as null ids may, by its texts'
+    hashes.  No number of ranges is capped.
+    """
+    shares = [i / COARSE for i in range(1, COARSE)]
+    quantiles = rows.agg(F.percentile_approx("doc_id", shares, 20 * COARSE).alias("e")).first()["e"] if total > ROWS_PER_RANGE else None
+    edges = sorted(set(quantiles or []))
+    hot = sorted({e for e in quantiles or [] if quantiles.count(e) > 1})
+    last = len(edges) + 1
+    coarse = F.when(F.col("doc_id").isNull(), last).otherwise(F.lit(len(edges)) - _within(edges, F.col("doc_id")))
+    alone = F.col("doc_id").isNull() | (F.col("doc_id").isin(*hot) if hot else F.lit(False))
+    rows = rows.withColumn("coarse", coarse).withColumn("alone", alone)
+    sizes = (
+        rows.groupBy("coarse", "alone")
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .select(
+            "coarse", "alone", F.ceil(F.col("n") / ROWS_PER_RANGE).cast("double").alias("parts"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")
+        )
+    )
+    sizes = F.broadcast(cut(sizes, "ranges"))  # two rows a coarse range at most
+    # The largest ids come first, and an id that stands alone is the largest of its coarse range.
+    place = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("doc_id").cast("double")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    by_tie = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+    part = F.least(F.floor(F.when(F.col("alone"), by_tie).otherwise(place) * F.col("parts")), F.col("parts") - 1).cast("long")
+    fine = F.when(F.col("alone"), part - F.lit(1 << 40)).otherwise(part)
+    return rows.join(sizes, ["coarse", "alone"]).select("doc_id", "text", "tie", "coarse", fine.alias("fine"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) with next_text, the text of the next row by descending id.
 
     Ids are cut into ranges of like size; a window orders the rows of a range, and the last row of
     each takes the first of the next range that has rows.  Texts are shuffled once.
     """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text", F.lit(47)).alias("tie"))
     total = docs.agg(F.count("*").alias("n")).first()["n"]
-    ranges = max(1, min(MAX_RANGES, total // ROWS_PER_RANGE))
-    edges = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        found = docs.agg(F.percentile_approx("doc_id", shares, 20 * ranges).alias("e")).first()["e"]
-        edges = sorted(set(found or []))
-    # The range of the largest ids is 0; null ids are in the last one.
-    place = F.lit(len(edges))
-    if edges:
-        below = F.aggregate(
-            F.array(*[F.lit(e).cast("long") for e in edges]),
-            F.lit(0),
-            lambda n, e: n + F.when(F.col("doc_id") > e, 1).otherwise(0),
-        )
-        place = F.coalesce(F.lit(len(edges)) - below, F.lit(len(edges)))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").asc()]
-    rows = docs.select(
-        "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
-        place.alias("range"),
-        F.xxhash64("text", F.lit(47)).alias("tie"),
-    )
-    # The first row of each range, by its place alone; its text is then looked up.
-    head = rows.select("range", F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("k"), "tie").alias("at"))
-    heads = sorted((r["range"], r["at"]["k"], r["at"]["tie"]) for r in head.groupBy("range").agg(F.min("at").alias("at")).collect())
-    if not heads:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    follows = [
-        (heads[i - 1][0], None if k == 2**63 - 1 else -k, tie) for i, (_, k, tie) in enumerate(heads)
-    ]  # the range before each head's own, going round
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(follows, "into int, head_id long, head_tie long"))
+    if not total:
+        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
+    rows = _ranges(rows, total)
+    # Each range's first row, by its place alone; its text is then looked up.
+    order = F.struct(F.when(F.col("doc_id").isNull(), 1).otherwise(0).alias("none"), (-1 - F.col("doc_id")).alias("k"), "tie")
+    heads = rows.groupBy("coarse", "fine").agg(F.min_by(F.struct("doc_id", "tie"), order).alias("head"))
+    heads = cut(heads.select("coarse", "fine", "head.doc_id", "head.tie"), "heads")
+    firsts = heads.groupBy("coarse").agg(F.min_by(F.struct("doc_id", "tie"), "fine").alias("h")).orderBy("coarse").collect()
+    after = [(r["coarse"], *firsts[(i + 1) % len(firsts)]["h"]) for i, r in enumerate(firsts)]  # a row a coarse range, going round
+    onward = F.broadcast(docs.sparkSession.createDataFrame(after, "coarse int, next_id long, next_tie long"))
+    ahead = Window.partitionBy("coarse").orderBy("fine")
+    wanted = heads.withColumn("up", F.lead(F.struct("doc_id", "tie")).over(ahead)).join(onward, "coarse")
+    head = F.coalesce("up", F.struct(F.col("next_id").alias("doc_id"), F.col("next_tie").alias("tie")))
+    wanted = cut(wanted.select(F.col("coarse").alias("to_coarse"), F.col("fine").alias("to_fine"), head.alias("h")).select("to_coarse", "to_fine", F.col("h.doc_id").alias("head_id"), F.col("h.tie").alias("head_tie")), "wanted")
+    wanted, _ = maybe_broadcast(wanted, 40)
     found = (
         rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["head_id"]) & (rows["tie"] == wanted["head_tie"]))
-        .groupBy("into")
+        .groupBy("to_coarse", "to_fine")
         .agg(F.min("text").alias("head_text"))
     )
-    found = cut(found.withColumnRenamed("into", "range"), "heads")
-    window = Window.partitionBy("range").orderBy(*order)
+    found = cut(found.select(F.col("to_coarse").alias("coarse"), F.col("to_fine").alias("fine"), "head_text"), "heads")
+    window = Window.partitionBy("coarse", "fine").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").asc())
     return (
         rows.withColumn("led", F.lead("text").over(window))
-        .join(found.hint("merge"), "range", "left")
+        .join(found.hint("merge"), ["coarse", "fine"], "left")
         .select("doc_id", "text", F.coalesce("led", "head_text").alias("next_text"))
     )
 
