@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocabulary as V
 
@@ -52,6 +54,47 @@ def normalize_v2(text: Column | str, aliases: Mapping[str, str] | None = None) -
     return canonicalize(out, aliases) if aliases else out
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def nfkc(text: Column | str) -> Column:
+    """Compatibility forms folded.  Plain text stays in the JVM: only texts with other letters reach Python."""
+    t = _c(text)
+    plain = F.octet_length(t) == F.char_length(t)
+    return F.when(plain, t).otherwise(_nfkc(F.when(~plain, t)))
+
+
+# Devanagari letters, vowel signs and marks in Latin letters; a consonant without a sign has an a.
+CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "n", "च": "c", "छ": "ch", "ज": "j", "झ": "jh", "ञ": "n", "ट": "t",
+    "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "ph",
+    "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "श": "s", "ष": "s", "स": "s", "ह": "h",
+}
+VOWELS = {"अ": "a", "आ": "a", "इ": "i", "ई": "i", "उ": "u", "ऊ": "u", "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au"}
+SIGNS = {"ा": "a", "ि": "i", "ी": "i", "ु": "u", "ू": "u", "े": "e", "ै": "ai", "ो": "o", "ौ": "au", "्": ""}
+
+
+def transliterate(text: Column | str) -> Column:
+    """Devanagari in Latin letters without marks, sign by sign; other texts as they are."""
+    t = _c(text)
+    bare = F.regexp_replace(F.regexp_replace(t, "[ंँ]", "n"), "[ः़]", "")
+    marks = "".join(SIGNS)
+    out = F.regexp_replace(bare, f"([{''.join(CONSONANTS)}])(?![{marks}])", "$1a")
+    for table in (CONSONANTS, VOWELS, SIGNS):
+        for letter, latin in table.items():
+            out = F.replace(out, F.lit(letter), F.lit(latin))
+    return F.when(t.rlike("[\u0900-\u097F]"), out).otherwise(t)
+
+
+def normalize_any(text: Column | str, aliases: Mapping[str, str] | None = None) -> Column:
+    """As `normalize_v2`, after compatibility forms and Devanagari."""
+    return normalize_v2(transliterate(nfkc(text)), aliases)
+
+
 def normalize_blocking(text: Column | str) -> Column:
     return squeeze(F.regexp_replace(F.lower(_c(text)), r"(?U)[^\w\s]", " "))
 
@@ -349,6 +392,19 @@ def drop_known_runs(toks: Column, known: Sequence[str]) -> Column:
     return F.filter(toks, lambda t, i: ~(t.isin(*known) & (i > 0) & F.coalesce(F.get(toks, i - 1).isin(*known), F.lit(False))))
 
 
+def drop_known_again(toks: Column, known: Sequence[str]) -> Column:
+    """A known token that equals the last known one goes, also with other tokens between."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"))
+
+    def step(s: Column, t: Column) -> Column:
+        is_known = t.isin(*known)
+        again = is_known & (t == s["last"])
+        out = F.when(again, s["out"]).otherwise(F.concat(s["out"], F.array(t)))
+        return F.struct(out.alias("out"), F.when(is_known, t).otherwise(s["last"]).alias("last"))
+
+    return F.aggregate(toks, start, step, lambda s: s["out"])
+
+
 # --- formatting ------------------------------------------------------------------------------------------------
 
 #: The order of an address's parts.
@@ -365,10 +421,16 @@ def compose(parts: Sequence[str] = PARTS) -> Column:
 
 def append_missing(body: Column, parts: Sequence[Column]) -> Column:
     """Adds each part that the text does not hold yet, in title case."""
-    out = F.initcap(body)
-    for p in parts:
-        out = F.when(p.isNull() | F.contains(F.lower(out), F.lower(p)), out).otherwise(F.concat_ws(", ", out, F.initcap(p)))
-    return out
+    return with_missing(F.initcap(body), parts)
+
+
+def with_missing(body: Column, parts: Sequence[Column]) -> Column:
+    """As `append_missing`, the body as it is.  A fold: each step holds the text so far once, not in copies."""
+    return F.aggregate(
+        F.array(*parts),
+        body,
+        lambda out, p: F.when(p.isNull() | F.contains(F.lower(out), F.lower(p)), out).otherwise(F.concat_ws(", ", out, F.initcap(p))),
+    )
 
 
 def strip_plus_code(text: Column | str) -> Column:

@@ -35,28 +35,31 @@ STOP_WORDS = (
 )
 BUILDING_WORDS = ("apartment", "apartments", "tower", "towers", "residency", "complex", "plaza", "heights", "enclave")
 GENERIC_BRANDS = ("the", "new", "old", "main", "near", "behind", "opposite", "royal", "green", "city", "grand")
+# Usual misspellings.
 MISSPELLINGS = {
     "raod": "road", "rood": "road", "stret": "street", "streat": "street", "nagr": "nagar", "layot": "layout",
     "lyout": "layout", "colny": "colony", "apartmnt": "apartment", "banglore": "bangalore", "bengalore": "bangalore",
     "mumbi": "mumbai", "chenai": "chennai", "delli": "delhi", "kolkatta": "kolkata", "hydrabad": "hyderabad",
     "opposit": "opposite", "bilding": "building", "flour": "floor", "blok": "block",
 }
-#: Phrases of one to four tokens with their usual form.
+# Phrases of one to four tokens with their usual form.
 LOCALITY_ALIASES = {
     "btm": "btm layout", "hsr": "hsr layout", "mg road": "mahatma gandhi road", "m g road": "mahatma gandhi road",
     "jp nagar": "jayaprakash nagar", "j p nagar": "jayaprakash nagar", "cv raman nagar": "c v raman nagar",
     "ecity": "electronic city", "e city": "electronic city", "indira nagar": "indiranagar",
     "white field": "whitefield", "kora mangala": "koramangala",
 }
-#: Replacements of the phonetic hash, in order; then runs of a vowel.
+# Replacements of the phonetic hash, in order; then runs of a vowel.
 PHONETIC_RULES = (
     ("ph", "f"), ("sh", "s"), ("sz", "s"), ("ch", "c"), ("gh", "g"), ("kh", "k"), ("jh", "j"), ("th", "t"),
     ("dh", "d"), ("bh", "b"), ("x", "ks"), ("z", "j"), ("q", "k"),
 )
 PHONETIC_RUNS = (("ee+", "i"), ("oo+", "u"), ("aa+", "a"))
+# The neighbours of each key.
 KEYBOARD = {
-    "q": "wa", "w": "qes", "e": "wrd", "r": "etf", "t": "ryg", "y": "tuh", "u": "yij", "i": "uok", "o": "ipl", "p": "ol",
-    "a": "qsz", "s": "awdx", "d": "sefc", "f": "drgv", "g": "fthb", "h": "gyjn", "j": "hukm", "k": "jil", "l": "ko",
-    "z": "asx", "x": "zsdc", "c": "xdfv", "v": "cfgb", "b": "vghn", "n": "bhjm", "m": "njk",
+    "q": "wa", "w": "qase", "e": "wsdf", "r": "edfg", "t": "rfgh", "y": "tghj", "u": "yhjki", "i": "ujklo", "o": "iklp",
+    "p": "ol", "a": "qwsz", "s": "awdezx", "d": "serfcx", "f": "drtgvc", "g": "ftyhbv", "h": "gyujnb", "j": "huikmn",
+    "k": "jiolm", "l": "kop", "z": "asx", "x": "zsdc", "c": "xdfv", "v": "cfgb", "b": "vghn", "n": "bhjm", "m": "njk",
 }
+# The precision of a geocoder's kinds of place.
 PRECISION = {"ROOFTOP": 1.0, "RANGE_INTERPOLATED": 0.85, "GEOMETRIC_CENTER": 0.65, "APPROXIMATE": 0.45}

@@ -76,6 +76,11 @@ def keyword_block(queries: DataFrame, corpus: DataFrame, top: int = 200) -> Data
 
 #: The order in which geographic blocks are tried.
 CASCADE = (("pincode", "city", "street"), ("city", "street"), ("pincode", "city"), ("pincode",), ("city",))
+#: The full cascade, with the state; its last pass is `keyword_block`.
+FULL_CASCADE = (
+    ("pincode", "city", "state", "street"), ("city", "state", "street"), ("city", "street"), ("pincode", "city", "state"),
+    ("city", "state"), ("pincode",), ("city",),
+)
 
 
 def geo_cascade(queries: DataFrame, corpus: DataFrame, cascade: Sequence[Sequence[str]] = CASCADE) -> DataFrame:
@@ -91,3 +96,46 @@ def geo_cascade(queries: DataFrame, corpus: DataFrame, cascade: Sequence[Sequenc
         if tier < len(cascade):
             left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return out
+
+
+def full_cascade(queries: DataFrame, corpus: DataFrame, top: int = 2000, keywords: bool = True) -> DataFrame:
+    """Per query (query_id, pincode, city, state, street, terms) the rows of the first pass that has any, the first `top`
+    by id: (query_id, tier, addr_id).  Seven geographic passes, then words.
+
+    A city's block is large and asked for by many queries.  So each block's first rows are taken once, before the join,
+    and a query meets at most `top` rows.
+    """
+    left, out = queries, None
+    for tier, keys in enumerate(FULL_CASCADE, 1):
+        first = Window.partitionBy(*keys).orderBy("addr_id")
+        block = corpus.select("addr_id", *keys).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top).drop("_r")
+        usable = left.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select("query_id", *keys)
+        found = usable.join(block, list(keys)).select("query_id", F.lit(tier).alias("tier"), "addr_id")
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    if keywords:
+        words = keyword_block(left.select("query_id", "terms"), corpus.select("addr_id", "text"), top)
+        out = out.unionByName(words.select("query_id", F.lit(len(FULL_CASCADE) + 1).alias("tier"), "addr_id"))
+    return out
+
+
+def geo_then_keywords(queries: DataFrame, corpus: DataFrame, least: int = 10, top: int = 2000) -> DataFrame:
+    """Rows of the query's city and pincode; for queries with under `least` of them, rows that share its words as well."""
+    keys = ["pincode", "city"]
+    first = Window.partitionBy(*keys).orderBy("addr_id")
+    block = corpus.select("addr_id", *keys).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top).drop("_r")
+    geo = queries.join(block, keys).select("query_id", "addr_id")
+    many = geo.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rest = queries.join(many, "query_id", "left_anti").select("query_id", "terms")
+    words = keyword_block(rest, corpus.select("addr_id", "text"), top).select("query_id", "addr_id")
+    return geo.unionByName(words).distinct()
+
+
+def substring_match(columns: Sequence[str], terms: Sequence[str]) -> Column:
+    """If any of the terms is in any of the columns, letter case and nulls aside."""
+    out = F.lit(False)
+    for c in columns:
+        low = F.lower(F.coalesce(F.col(c), F.lit("")))
+        for t in terms:
+            out = out | F.contains(low, F.lit(t.lower()))
+    return out

@@ -17,7 +17,12 @@ def hit_rates(ranked: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def calibration(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Rows, positive rate, mean, Brier score and ROC area (by ranks, ties shared) of scores against labels."""
+    """Rows, positive rate, mean, percentiles, Brier score, ROC area (by ranks, ties shared) and average precision.
+
+    Scores are rounded to six places and counted first; the running sums go over distinct scores, cut into a thousand
+    stretches, each its own window, with the stretches' totals carried from one to the next.
+    """
+    scored = scored.withColumn(score, F.round(score, 6))
     stats = scored.agg(
         F.count("*").alias("n"),
         F.sum(label).alias("positives"),
@@ -25,12 +30,22 @@ def calibration(scored: DataFrame, score: str, label: str) -> DataFrame:
         F.max(score).alias("high"),
         F.avg(score).alias("mean"),
         F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"),
+        F.percentile(score, [0.1, 0.5, 0.9]).alias("shares"),
+    )
+    stretch = F.floor(F.col(score) * 1000).cast("long")
+    by_score = scored.groupBy(stretch.alias("stretch"), score).agg(F.count("*").alias("c"), F.sum(label).alias("p"))
+    totals = by_score.groupBy("stretch").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))  # about a thousand rows
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("stretch", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in "cp"])
+    inside = Window.partitionBy("stretch").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by_score.withColumns({f"{x}1": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in "cp"}).join(F.broadcast(carried), "stretch")
+    ranked = ranked.select("c", "p", (F.col("c0") + F.col("c1")).alias("before"), (F.col("p0") + F.col("p1")).alias("p_before"))
+    ranked = ranked.crossJoin(F.broadcast(stats.select("n", "positives")))  # one row
+    # Precision among all rows of this score and above, weighed by the positives of this score.
+    precision = (F.col("positives") - F.col("p_before")) / (F.col("n") - F.col("before"))
+    ranks = ranked.agg(
+        F.sum(F.col("p") * (F.col("before") + (F.col("c") + 1) / 2)).alias("rank_sum"), F.sum(F.col("p") * precision).alias("gained")
     )
-    # Ranks over distinct scores: a window over their counts, pre-summed, not over rows.
-    by_score = scored.groupBy(score).agg(F.count("*").alias("c"), F.sum(label).alias("p"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("before", F.coalesce(F.sum("c").over(below), F.lit(0)))
-    ranks = ranked.agg(F.sum(F.col("p") * (F.col("before") + (F.col("c") + 1) / 2)).alias("rank_sum"))
     p, n = F.col("positives"), F.col("n")
     auc = (F.col("rank_sum") - p * (p + 1) / 2) / (p * (n - p))
     return stats.crossJoin(F.broadcast(ranks)).select(  # one row each
@@ -41,6 +56,8 @@ def calibration(scored: DataFrame, score: str, label: str) -> DataFrame:
         F.round("mean", 6).alias("mean"),
         F.round("brier", 6).alias("brier"),
         F.round(auc, 6).alias("roc_auc"),
+        F.round(F.col("gained") / p, 6).alias("average_precision"),
+        *[F.round(F.get("shares", F.lit(i)), 6).alias(name) for i, name in enumerate(("p10", "p50", "p90"))],
     )
 
 
@@ -53,10 +70,29 @@ def daily_counts(events: DataFrame, ts: str = "ts", days: int = 14) -> DataFrame
 
 
 def latest_per_key(rows: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    best = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return rows.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    rest = [c for c in rows.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(ts, tie))
+    return rows.groupBy(key).agg(last.alias("_m")).select(key, "_m.*").select(*rows.columns)
 
 
 def bandit_values(feedback: DataFrame, arm: str, reward: str) -> DataFrame:
     """Per arm its mean reward and pulls: what the running update ends at."""
     return feedback.groupBy(arm).agg(F.count("*").alias("pulls"), F.round(F.avg(reward), 6).alias("value"))
+
+
+def batch_stats(rows: DataFrame, status: str, confidence: str) -> DataFrame:
+    """Of a batch of corrections: rows, answered ones, failed ones, the mean confidence of those answered."""
+    bad = F.col(status).isin("error", "no_match") | F.col(status).isNull()
+    return rows.agg(
+        F.count("*").alias("rows"),
+        F.count_if(~bad).alias("ok"),
+        F.count_if(bad).alias("failed"),
+        F.round(F.avg(F.when(~bad, F.col(confidence))), 6).alias("mean_confidence"),
+    )
+
+
+def engine_stats(rows: DataFrame, text: str, toks: str, areas: DataFrame) -> DataFrame:
+    """Sizes of a corpus in one row: addresses, distinct ones, words, areas."""
+    words = rows.select(F.explode(toks).alias("token")).agg(F.countDistinct("token").alias("vocabulary"))
+    sizes = rows.agg(F.count("*").alias("addresses"), F.countDistinct(text).alias("unique_addresses"))
+    return sizes.crossJoin(F.broadcast(words)).crossJoin(F.broadcast(areas.agg(F.count("*").alias("areas"))))  # one row each

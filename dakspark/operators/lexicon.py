@@ -82,3 +82,39 @@ def mine_misspellings(pairs: DataFrame, least: int = 3, share: float = 0.60) ->
     known = (*V.CITIES, *V.ROAD_WORDS, *V.LOCALITY_WORDS, *V.STOP_WORDS, *V.MISSPELLINGS)
     swap = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return kept.where(~F.col("src").isin(*known)).join(swap, ["src", "dst"], "left_anti")
+
+
+# Counts of words that are known but not seen, of the vocabulary and of corrections' targets.
+KNOWN_PRIOR, TARGET_PRIOR = 20, 15
+
+
+def with_priors(counts: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
+    """Token counts (token, n) with a constant count for known words (token), and another for targets, that aren't seen."""
+    priors = known.select("token", F.lit(KNOWN_PRIOR).alias("prior")).unionByName(targets.select("token", F.lit(TARGET_PRIOR).alias("prior")))
+    unseen = priors.groupBy("token").agg(F.max("prior").cast("long").alias("n")).join(counts, "token", "left_anti")
+    return counts.select("token", F.col("n").cast("long").alias("n")).unionByName(unseen)
+
+
+def geo_vocabulary(rows: DataFrame, toks: str, least: int = 2) -> DataFrame:
+    """Words beside a road or locality word, or that end like a place, count two, others one: those of `least` and more."""
+    t = F.col(toks)
+    after = (*V.ROAD_WORDS, *V.LOCALITY_WORDS)
+    ends = rf"(?:{'|'.join(V.LOCALITY_WORDS)})$"
+    weigh = F.transform(
+        t,
+        lambda w, i: F.struct(
+            w.alias("token"), F.when(F.coalesce(F.get(t, i + 1).isin(*after), F.lit(False)) | w.rlike(ends), 2).otherwise(1).alias("weight")
+        ),
+    )
+    words = rows.select(F.explode(weigh).alias("x")).select("x.*").where(F.col("token").rlike("^[a-z]{4,}$") & ~F.col("token").isin(*V.STOP_WORDS))
+    return words.groupBy("token").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= least)
+
+
+def retarget(learned: DataFrame, curated: DataFrame, hops: int = 3) -> DataFrame:
+    """Learned pairs (src, dst) whose target is itself corrected by the curated map point to where that ends, after up to
+    `hops` steps; pairs that end at their source go."""
+    step = curated.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
+    out = learned.select("src", "dst")
+    for _ in range(hops):
+        out = out.join(step, F.col("dst") == F.col("_from"), "left").select("src", F.coalesce("_to", "dst").alias("dst"))
+    return out.where("src <> dst")

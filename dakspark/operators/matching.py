@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display as D
 from ..functions import similarity as S
 from ..functions import text as X
 from ..functions import vocabulary as V
@@ -30,7 +33,7 @@ def meet(a: Column, b: Column) -> Column:
 
 def structured_gate(q: Column, c: Column) -> Column:
     """Pincode, city and road equal where both are known; numbers and localities meet; sub-anchors agree."""
-    plain = lambda p: F.filter(p["numbers"], lambda n: F.char_length(n) != 6)
+    plain = lambda p: D.real_house_numbers(p["numbers"], c["pincode"]) if p is q else F.filter(p["numbers"], lambda n: F.char_length(n) != 6)
     subs = F.forall(
         F.map_keys(q["sub_anchors"]), lambda k: agree(c["sub_anchors"][k], q["sub_anchors"][k])
     )
@@ -56,6 +59,21 @@ def distinctive_share(query: Column, candidate: Column) -> Column:
     return F.when(F.size(own) == 0, 1.0).otherwise(X.token_overlap(own, candidate))
 
 
+def fuzzy_share(pairs: DataFrame, key: Sequence[str], query: str, candidate: str, least: float = 85.0) -> DataFrame:
+    """As `distinctive_share`, where a token also counts that is like one of the candidate's: rows (key, share).
+
+    Only tokens that the candidate lacks are held against its tokens of a like length, in one pass over pairs.
+    """
+    telling = F.filter(query, lambda t: (F.char_length(t) >= 4) & ~t.rlike("^[0-9]+$") & ~t.isin(*V.STOP_WORDS))
+    rows = pairs.select(*key, F.array_distinct(telling).alias("own"), F.array_distinct(F.filter(candidate, lambda t: F.char_length(t) >= 4)).alias("other"))
+    lost = rows.select(*key, "other", F.explode(F.array_except("own", "other")).alias("a"))
+    near = lost.select(*key, "a", F.explode("other").alias("b")).where(F.abs(F.char_length("a") - F.char_length("b")) <= 2)
+    again = near.where(S.indel_ratio("a", "b") >= least).groupBy(*key).agg(F.countDistinct("a").alias("again"))
+    exact = F.size(F.array_intersect("own", "other"))
+    share = F.when(F.size("own") == 0, 1.0).otherwise((exact + F.coalesce("again", F.lit(0))) / F.size("own"))
+    return rows.join(again, list(key), "left").select(*key, F.round(share, 6).alias("share"))
+
+
 def geo_boosted(base: Column, q: Column, c: Column) -> Column:
     """The base score with what agrees added and what contradicts taken off; a wrong pincode or road caps it at 69."""
     differs = lambda k: q[k].isNotNull() & c[k].isNotNull() & (q[k] != c[k])
@@ -124,23 +142,11 @@ def generated_confidence(pin_valid: Column, consistent: Column, geocoded: Column
     return F.least(F.lit(0.95), total)
 
 
-def best_matches(queries: DataFrame, corpus: DataFrame, on: list[str], top: int = 5) -> DataFrame:
-    """Per query (query_id, text, parsed) the best addresses (addr_id, text, parsed) of its block.
+def match_addresses(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Per query (query_id, text, parsed) its best address, whether the gates allow it, confidence and status."""
+    from .correction import ranked_matches
 
-    Pairs come from an equi-join on the block's columns; ratios see blocked pairs only.
-    """
-    q = queries.select("query_id", F.col("text").alias("q_text"), F.col("parsed").alias("q"), *on)
-    c = corpus.select("addr_id", F.col("text").alias("c_text"), F.col("parsed").alias("c"), *on)
-    pairs = q.join(c, on)
-    scored = pairs.withColumn("base", base_score(F.col("q_text"), F.col("c_text")))
-    boosted = scored.withColumn("score", geo_boosted(F.col("base"), F.col("q"), F.col("c")))
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("base").desc(), "addr_id")
-    return boosted.withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= top)
-
-
-def match_addresses(queries: DataFrame, corpus: DataFrame, on: list[str]) -> DataFrame:
-    """The flagship: per query its best address, whether the gates allow it, confidence and status."""
-    best = best_matches(queries, corpus, on, top=1)
+    best = ranked_matches(queries, corpus, top=1)
     gate = structured_gate(F.col("q"), F.col("c")) & building_gate(F.col("q_text"), F.col("c_text"))
     share = distinctive_share(F.col("q")["tokens"], F.col("c")["tokens"])
     found = best.select("query_id", "addr_id", "score", gate.alias("allowed"), share.alias("share"), F.col("c_text").alias("best_address"))

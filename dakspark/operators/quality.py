@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Of rows with equal keys the first by `order`."""
-    best = Window.partitionBy("_key").orderBy(order)
+    """Of rows with equal keys the first by `order`, which tells rows apart.
+
+    The least of each key is found by a pre-summed aggregate of thin rows, so a hot key is no sort in one task.
+    """
     keyed = rows.withColumn("_key", key)
-    return keyed.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_key", "_rank")
+    first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
+    same = keyed["_key"].eqNullSafe(first["_key"]) & keyed[order].eqNullSafe(first["_first"])
+    return keyed.join(first, same, "left_semi").drop("_key")
 
 
 def duplicate_groups(rows: DataFrame, key: Column) -> DataFrame:
@@ -85,3 +89,39 @@ def add_noise(rows: DataFrame, key: str, text: str, copies: int = 4) -> DataFram
 
     many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     return many.withColumn("noisy", F.array_join(F.filter(F.transform(toks, noisy), lambda t: t != ""), " "))
+
+
+def issue_samples(rows: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
+    """Per issue its count and the texts of its first rows: at most three a task are kept before the shuffle."""
+    found = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.explode(X.issues(text)).alias("issue"))
+    salted = found.groupBy("issue", F.pmod(F.xxhash64("k"), F.lit(1000)).alias("salt")).agg(
+        F.count("*").alias("n"), F.min(F.struct("k", "t")).alias("first")
+    )
+    ordered = F.slice(F.array_sort(F.collect_list("first")), F.lit(1), F.lit(most))
+    return salted.groupBy("issue").agg(F.sum("n").alias("n"), F.transform(ordered, lambda x: x["t"]).alias("samples"))
+
+
+def reject_reasons(rows: DataFrame, raw: str, cleaned: str) -> DataFrame:
+    """Of a cleaning: rows by what became of them, with those a label's bad word marks."""
+    from ..functions import display as D
+
+    why = (
+        F.when(F.col(raw).isNull() | (F.trim(F.col(raw)) == ""), "missing")
+        .when(F.char_length(F.coalesce(F.col(cleaned), F.lit(""))) < 5, "short")
+        .when(D.bad_label(F.col(cleaned)), "bad_label")
+        .when(F.col(raw) == F.col(cleaned), "unchanged")
+        .otherwise("changed")
+    )
+    return rows.groupBy(why.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def top_changes(changes: DataFrame, most: int = 50) -> DataFrame:
+    """The commonest replacements (src, dst), with their counts."""
+    return changes.groupBy("src", "dst").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "src", "dst").limit(most)
+
+
+def backfill_pincode(rows: DataFrame, pincode: str, texts: list[str]) -> DataFrame:
+    """Rows whose pincode is blank with the first one that a text has; only rows that change."""
+    blank = F.coalesce(F.trim(F.col(pincode)), F.lit("")) == ""
+    found = F.coalesce(*[X.pincode(F.col(t)) for t in texts])
+    return rows.where(blank & found.isNotNull()).withColumn(pincode, found)

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import staged
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -31,7 +33,7 @@ def term_weights(posted: DataFrame, docs: DataFrame, toks: str) -> DataFrame:
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Scores (query_id, key, score) of queries (query_id, terms) against docs (key, toks), by shared terms."""
-    posted = postings(docs, key, "toks")
+    posted = staged(postings(docs, key, "toks"), "postings")
     weights = term_weights(posted, docs, "toks")
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     part = (
@@ -61,13 +63,32 @@ def inner_product(a: Column, b: Column) -> Column:
     )
 
 
+#: Query vectors that are sent to the corpus's partitions at a time, and parts of the corpus that keep their own best.
+QUERY_BLOCK, PARTS = 2_000, 256
+
+
 def dense_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id") -> DataFrame:
     """Inner products of a stated query set (query_id, vector) with every row of corpus (key, embedding).
 
-    Exact search: the queries, a set of known size, are sent to the corpus's partitions.
+    Exact search: the queries are counted and sent to the corpus's partitions in blocks of QUERY_BLOCK.
     """
-    both = corpus.crossJoin(F.broadcast(queries))
-    return both.select("query_id", key, inner_product(F.col("vector"), F.col("embedding")).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        both = corpus.crossJoin(F.broadcast(own)).select("query_id", key, inner_product(F.col("vector"), F.col("embedding")).alias("score"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", digits: int = 6) -> DataFrame:
+    """The k best of `dense_scores` per query.  Each part of the corpus keeps its own k best as one small array per query,
+    summed before the shuffle, so all pairs never leave their tasks."""
+    scores = dense_scores(queries, corpus, key).withColumn("score", F.round("score", digits))
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    own = Window.partitionBy("query_id", "part").orderBy(F.col("score").desc(), key)
+    few = scores.withColumn("part", part).withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k).drop("_r", "part")
+    return top_k(few, k, key, digits=digits)
 
 
 def prefix_matches(prefixes: DataFrame, corpus: DataFrame, per_prefix: int = 50, k: int = 10) -> DataFrame:
@@ -99,3 +120,97 @@ def fuse(sources: Mapping[str, DataFrame], weights: Mapping[str, float], key: st
         own = min_max(frame).select("query_id", key, (F.col("score") * weights[name]).alias("score"))
         parts = own if parts is None else parts.unionByName(own)
     return parts.groupBy("query_id", key).agg(F.sum("score").alias("score"))
+
+
+def max_normal(scores: DataFrame, score: str = "score") -> DataFrame:
+    """Per query scores over the largest one."""
+    return scores.withColumn(score, F.col(score) / (F.max(score).over(Window.partitionBy("query_id")) + 1e-9))
+
+
+# Weights of lexical, dense and fuzzy scores, and the least fuzzy score that counts.
+WEIGHTED, FUZZY_LEAST = {"bm25": 0.30, "dense": 0.50, "fuzzy": 0.20}, 0.55
+
+
+def weighted_fusion(bm25_scores: DataFrame, dense: DataFrame, fuzzy: DataFrame, key: str) -> DataFrame:
+    """Lexical scores over their largest, dense ones as they are, fuzzy ones above the least: the weighted sum per query and key."""
+    parts = (
+        max_normal(bm25_scores).select("query_id", key, (F.col("score") * WEIGHTED["bm25"]).alias("score")),
+        dense.select("query_id", key, (F.col("score") * WEIGHTED["dense"]).alias("score")),
+        fuzzy.where(F.col("score") > FUZZY_LEAST).select("query_id", key, (F.col("score") * WEIGHTED["fuzzy"]).alias("score")),
+    )
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.groupBy("query_id", key).agg(F.sum("score").alias("score"))
+
+
+def union_distinct(sources: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Candidates of all sources, each once, with the sources that have it."""
+    rows = None
+    for name, frame in sources.items():
+        own = frame.select("query_id", key, F.lit(name).alias("source"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("query_id", key).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def merge_best(first: DataFrame, second: DataFrame, key: str, k: int) -> DataFrame:
+    """Both lists of candidates, the larger score of each, the k best per query."""
+    both = first.select("query_id", key, "score").unionByName(second.select("query_id", key, "score"))
+    return top_k(both.groupBy("query_id", key).agg(F.max("score").alias("score")), k, key)
+
+
+def merge_live(candidates: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Candidates with scores (query_id, key, scores: map) and a live source (query_id, key, score): a row of both has the
+    live score beside its own ones, a row of one has that one's."""
+    own = live.select("query_id", key, F.col("score").alias("_live"))
+    none = F.create_map().cast("map<string,double>")
+    added = F.when(F.col("_live").isNotNull(), F.map_from_arrays(F.array(F.lit("sql")), F.array("_live"))).otherwise(none)
+    kept = F.map_filter(F.coalesce("scores", none), lambda k, _: k != "sql")
+    return candidates.join(own, ["query_id", key], "full").select("query_id", key, F.map_concat(kept, added).alias("scores"))
+
+
+def top_by_strategy(scored: DataFrame, depths: Mapping[str, int], key: str) -> DataFrame:
+    """Candidates that are among the first of any strategy, a column of scores each with its depth: one window a
+    strategy over the same partitioning, so one shuffle; each candidate once."""
+    rows, test = scored, F.lit(False)
+    for i, (name, depth) in enumerate(depths.items()):
+        order = Window.partitionBy("query_id").orderBy(F.col(name).desc(), key)
+        rows = rows.withColumn(f"_r{i}", F.row_number().over(order))
+        test = test | (F.col(f"_r{i}") <= depth)
+    return rows.where(test).drop(*[f"_r{i}" for i in range(len(depths))])
+
+
+def pincode_bucket(scores: DataFrame, queries: DataFrame, corpus: DataFrame, key: str, seed: int = 200) -> DataFrame:
+    """Scores (query_id, key, score) of rows within the query's pincode; a query with a pincode of the corpus, but no
+    such score, gets the bucket's first rows with score 1; queries without a pincode keep all their scores."""
+    pins = queries.where(F.col("pincode").isNotNull()).select("query_id", "pincode")
+    rows = corpus.select(key, F.col("pincode").alias("_own"))
+    free = scores.join(pins, "query_id", "left_anti")
+    held = scores.join(pins, "query_id").join(rows, key).where(F.col("pincode") == F.col("_own")).select("query_id", key, "score")
+    empty = pins.join(held.select("query_id").distinct(), "query_id", "left_anti")
+    order = Window.partitionBy("pincode").orderBy(key)
+    first = corpus.select(key, "pincode").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= seed)
+    seeds = empty.join(first, "pincode").select("query_id", key, F.lit(1.0).alias("score"))
+    return free.select("query_id", key, "score").unionByName(held).unionByName(seeds)
+
+
+def hybrid(bm25_scores: DataFrame, dense: DataFrame, queries: DataFrame, corpus: DataFrame, key: str, k: int = 200) -> DataFrame:
+    """Lexical and dense scores, 4k of each, within the query's pincode where it has one, min-max fused, the k best."""
+    few = {name: pincode_bucket(top_k(s, 4 * k, key).drop("rank"), queries, corpus, key) for name, s in (("bm25", bm25_scores), ("dense", dense))}
+    return top_k(fuse(few, {"bm25": 1.0, "dense": 1.0}, key), k, key)
+
+
+def keyword_retrieval(queries: DataFrame, corpus: DataFrame, columns: list[str], rows: int = 200, least: float = 60.0) -> DataFrame:
+    """Per query (query_id, text, terms) the first rows by id of the corpus (addr_id, text, columns) that hold a term in any
+    column, scored by ratio; those of `least` and more, over 100.  Terms meet postings in an equi-join."""
+    from ..functions import similarity as S
+    from ..functions import text as X
+
+    whole = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
+    posted = corpus.select("addr_id", F.explode(F.array_distinct(X.tokens(X.normalize_blocking(whole)))).alias("term"))
+    hits = queries.select("query_id", F.explode("terms").alias("term")).join(posted, "term").select("query_id", "addr_id").distinct()
+    order = Window.partitionBy("query_id").orderBy("addr_id")
+    few = hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).drop("_r")
+    pairs = few.join(queries.select("query_id", F.col("text").alias("q_text")), "query_id").join(
+        corpus.select("addr_id", F.col("text").alias("c_text")), "addr_id"
+    )
+    scored = pairs.withColumn("ratio", S.indel_ratio("q_text", "c_text")).where(F.col("ratio") >= least)
+    return scored.select("query_id", "addr_id", F.round(F.col("ratio") / 100, 6).alias("score"))

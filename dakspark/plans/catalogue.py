@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import blocking, evaluation, lexicon, matching, quality, ranking, retrieval, spelling, tables
+from ..operators import blocking, correction, evaluation, lexicon, matching, quality, ranking, retrieval, spelling, tables
 from ..sources import readers
+from ..sources.writers import shared_dir, staged
 from ..streaming import feedback
 from .corpus import ADDRESS_SQL, CITIES, NOISY_SQL, addresses, noisy_addresses, parsed, table
 
@@ -344,6 +345,25 @@ def vocabulary_and_words(spark, sf):
     return vocabulary, seen
 
 
+def _keys(a: str, b: str) -> str:
+    near = " " + " ".join(k + n for k, own in V.KEYBOARD.items() for n in own) + " "
+    one = f"CASE WHEN substr({a}, CAST(i AS INT), 1) = substr({b}, CAST(i AS INT), 1) THEN 1.0 WHEN contains('{near}', ' ' || substr({a}, CAST(i AS INT), 1) || substr({b}, CAST(i AS INT), 1) || ' ') THEN 1.2 ELSE 0.2 END"
+    return f"CASE WHEN length({a}) = length({b}) THEN list_aggregate(list_transform(range(1, length({a}) + 1), lambda i: CAST({one} AS DOUBLE)), 'product') ELSE 1.0 END"
+
+
+#: The noisy words, and known words with their second letter changed, or that and one letter lost.
+MANY_WORDS = f"""{NOISY_WORDS}, m AS (SELECT word FROM x UNION SELECT substr(token, 1, 1) || 's' || substr(token, 3) FROM v WHERE length(token) >= 4
+  UNION SELECT substr(token, 1, 1) || 'w' || substr(token, 3, length(token) - 3) FROM v WHERE length(token) >= 5)"""
+
+
+def many_words(spark, sf):
+    vocabulary, seen = vocabulary_and_words(spark, sf)
+    t, n = F.col("token"), F.char_length("token")
+    changed = vocabulary.where(n >= 4).select(F.concat(F.substring(t, 1, 1), F.lit("s"), F.substr(t, F.lit(3), n)).alias("word"))
+    shorter = vocabulary.where(n >= 5).select(F.concat(F.substring(t, 1, 1), F.lit("w"), F.substr(t, F.lit(3), n - 3)).alias("word"))
+    return seen.unionByName(changed).unionByName(shorter).distinct()
+
+
 @query(
     "edit_neighbours",
     f"WITH {ADDRESS_SQL}, {NOISY_SQL}, {VOCABULARY}, {NOISY_WORDS} SELECT word, token AS near, n FROM x JOIN v ON damerau_levenshtein(word, token) = 1",
@@ -355,14 +375,33 @@ def _(spark, sf):
 
 @query(
     "norvig_correct",
-    f"""WITH {ADDRESS_SQL}, {NOISY_SQL}, {VOCABULARY}, {NOISY_WORDS},
-r AS (SELECT word, token, row_number() OVER (PARTITION BY word ORDER BY n DESC, token) AS k FROM x JOIN v ON damerau_levenshtein(word, token) = 1
-  WHERE word NOT IN (SELECT token FROM v))
-SELECT x.word, coalesce(r.token, x.word) AS corrected FROM x LEFT JOIN r ON x.word = r.word AND r.k = 1""",
+    f"""WITH {ADDRESS_SQL}, {NOISY_SQL}, {VOCABULARY}, {MANY_WORDS}, y AS (SELECT word, token, n, damerau_levenshtein(word, token) AS d FROM m JOIN v ON damerau_levenshtein(word, token) <= 2
+  WHERE word NOT IN (SELECT token FROM v)),
+r AS (SELECT word, token, row_number() OVER (PARTITION BY word ORDER BY d, round(n * {_keys('word', 'token')}, 9) DESC, token) AS k FROM y)
+SELECT m.word, coalesce(r.token, m.word) AS corrected FROM m LEFT JOIN r ON m.word = r.word AND r.k = 1""",
 )
 def _(spark, sf):
-    vocabulary, seen = vocabulary_and_words(spark, sf)
-    return spelling.norvig_correct(seen, vocabulary)
+    vocabulary, _ = vocabulary_and_words(spark, sf)
+    return spelling.norvig_correct(many_words(spark, sf), vocabulary)
+
+
+@query(
+    "edit_neighbours_two",
+    f"WITH {ADDRESS_SQL}, {NOISY_SQL}, {VOCABULARY}, {MANY_WORDS} SELECT word, token AS near, n FROM m JOIN v ON damerau_levenshtein(word, token) = 2",
+)
+def _(spark, sf):
+    vocabulary, _ = vocabulary_and_words(spark, sf)
+    return spelling.edit_neighbours_two(many_words(spark, sf), vocabulary)
+
+
+@query(
+    "keyboard_weight",
+    f"WITH {PART_WORDS} SELECT a.word AS a, b.word AS b, round({_keys('a.word', 'b.word')}, 9) AS weight FROM w a JOIN w b ON length(a.word) = length(b.word)",
+)
+def _(spark, sf):
+    rows = part_words(spark, sf)
+    pairs = rows.select(F.col("word").alias("a"), F.char_length("word").alias("n")).join(rows.select(F.col("word").alias("b"), F.char_length("word").alias("n")), "n")
+    return pairs.select("a", "b", F.round(X.keyboard_weight(F.col("a"), F.col("b")), 9).alias("weight"))
 
 
 @query("correct_tokens")
@@ -454,7 +493,9 @@ def dense(spark, sf):
     "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10",
 )
 def _(spark, sf):
-    return retrieval.top_k(dense(spark, sf), 10, "vec_id").select("query_id", "vec_id", "score", "rank")
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asks = asked(rows, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_top_k(asks, rows, 10).select("query_id", "vec_id", "score", "rank")
 
 
 @query(
@@ -498,29 +539,28 @@ def _(spark, sf):
 
 
 def matched(spark, sf):
-    """Noisy queries, spelled by the corpus's vocabulary, and the corpus: both parsed, keyed by pincode and city."""
-    rows = noisy_addresses(spark, sf).withColumnRenamed("pin", "pincode")
+    """Noisy queries, spelled by the corpus's vocabulary, and the corpus, both parsed: a query has nothing but its text."""
+    rows = noisy_addresses(spark, sf)
     vocabulary = lexicon.token_counts(rows, X.tokens(X.normalize_v1("text")))
     noisy = rows.select("addr_id", X.tokens(X.normalize_v1("noisy")).alias("toks"))
     spelled = spelling.correct_tokens(noisy, "addr_id", "toks", vocabulary).select(
         F.col("addr_id").alias("query_id"), F.array_join("corrected", " ").alias("text")
     )
-    keys = rows.select(F.col("addr_id").alias("query_id"), "pincode", "city")
-    asks = parsed(spelled.join(keys, "query_id"), "text")
-    known = parsed(rows.select("addr_id", X.normalize_v1("text").alias("text"), "pincode", "city"), "text")
+    asks = parsed(staged(spelled, "spelled"), "text")
+    known = parsed(rows.select("addr_id", X.normalize_v1("text").alias("text")), "text")
     return asks, known
 
 
 @query("match_addresses")
 def _(spark, sf):
     asks, known = matched(spark, sf)
-    return matching.match_addresses(asks, known, ["pincode", "city"])
+    return matching.match_addresses(asks, known)
 
 
 @query("hit_at_k")
 def _(spark, sf):
     asks, known = matched(spark, sf)
-    ranked = matching.best_matches(asks, known, ["pincode", "city"])
+    ranked = correction.ranked_matches(asks, known)
     return evaluation.hit_rates(ranked, asks.select("query_id", F.col("query_id").alias("true_id")))
 
 
@@ -528,7 +568,8 @@ def _(spark, sf):
     "structured_gate",
     f"""WITH {ADDRESS_SQL}, t AS (SELECT addr_id, street, pin, {_toks(_norm('text'))} AS toks FROM addr),
 f AS (SELECT *, list_filter(toks, lambda t: regexp_full_match(t, '[0-9]+') AND length(t) <> 6) AS nums, {_before('toks', V.LOCALITY_WORDS)} AS locs FROM t)
-SELECT q.addr_id AS query_id, c.addr_id, q.street = c.street AND len(list_intersect(q.nums, c.nums)) > 0
+SELECT q.addr_id AS query_id, c.addr_id, q.street = c.street AND (len(list_intersect(q.nums, c.nums)) > 0
+  OR len(list_filter(q.nums, lambda n: NOT (length(n) <= 3 AND n IN (right(c.pin, 2), right(c.pin, 3), right(c.pin, 4))))) = 0)
   AND (len(q.locs) = 0 OR len(c.locs) = 0 OR len(list_intersect(q.locs, c.locs)) > 0) AS allowed
 FROM f q JOIN f c ON q.pin = c.pin WHERE q.addr_id % 100 = 0""",
 )
@@ -620,7 +661,11 @@ def scored(spark, sf):
 r AS (SELECT sum(p * (coalesce(before, 0) + (c + 1) / 2.0)) AS rank_sum FROM (SELECT *, sum(c) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)),
 t AS (SELECT count(*) AS n, sum(label) AS p, min(score) AS low, max(score) AS high, avg(score) AS mean, avg((score - label) * (score - label)) AS brier FROM s)
 SELECT n AS rows, round(p / n, 6) AS positive_rate, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(brier, 6) AS brier,
-  round((rank_sum - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS roc_auc FROM t, r""",
+  round((rank_sum - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS roc_auc, round(gained / p, 6) AS average_precision,
+  round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90 FROM t, r,
+  (SELECT sum(g.p * (tp - coalesce(pb, 0)) / (tn - coalesce(nb, 0))) AS gained FROM (SELECT *, sum(c) OVER w AS nb, sum(p) OVER w AS pb,
+     (SELECT sum(label) FROM s) AS tp, (SELECT count(*) FROM s) AS tn FROM g WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) g),
+  (SELECT quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.9) AS p90 FROM s)""",
 )
 def _(spark, sf):
     return evaluation.calibration(scored(spark, sf), "score", "label")
@@ -868,9 +913,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     stream = feedback.windowed_counts(feedback.read_event_stream(spark, f"{sf}/events.parquet"))
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dakspark-stream-")
-    name = f"feedback_{abs(hash(sf))}"
-    done = feedback.run_once(stream, name, f"{found}/{name}-{id(stream)}")
+    top = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    done = feedback.run_to_table(stream, f"{top}/table", f"{top}/checkpoint", ["day", "event_type"])
     return done.select(F.to_date("day").cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -879,3 +923,6 @@ def _(spark, sf):
     pages = table(spark, sf, "pages")
     plain = X.squeeze(F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]+>", " "))
     return pages.select("page_id", X.strip_plus_code(plain).alias("text"), X.detect_pincode(plain).alias("pincode"))
+
+
+from . import corrections  # noqa: E402, F401  registers its queries

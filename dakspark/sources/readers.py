@@ -100,7 +100,12 @@ def parse_geocode(payload: Column | str) -> Column:
     """A geocoder's JSON answer as a struct, null for an empty one."""
     p = F.col(payload) if isinstance(payload, str) else payload
     get = lambda path: F.get_json_object(p, path)
-    kind = F.coalesce(get("$.location_type"), get("$.geometry.location_type"))
+    kind = F.coalesce(
+        get("$.location_type"),
+        get("$.geometry.location_type"),
+        precision_class(get("$.place_rank").try_cast("int"), PLACE_RANKS),
+        precision_class(get("$.confidence").try_cast("int"), CONFIDENCES),
+    )
     return F.when(
         p.isNotNull() & (p != ""),
         F.struct(
@@ -137,3 +142,64 @@ class NullGeocoder:
 def select_geocoder(answers: DataFrame | None = None):
     """The table's provider if there is one, else the null one."""
     return NullGeocoder() if answers is None else TableGeocoder(answers)
+
+
+def read_prompts(spark: SparkSession, path: str, with_geo: bool = True, share: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Prompts and targets (id, prompt, target) of a JSON-lines file of pairs, split by a hash of the id into training and
+    validation rows, so that a row is on the same side in every run."""
+    from ..functions import display as D
+
+    rows = read_pairs(spark, path).where("trim(coalesce(noisy_input, '')) <> '' AND trim(coalesce(clean_target, '')) <> ''")
+    prompt = D.geo_prompt(F.trim("noisy_input"), F.col("city"), F.col("state"), F.col("pincode")) if with_geo else F.trim("noisy_input")
+    made = rows.select("id", prompt.alias("prompt"), F.trim("clean_target").alias("target"))
+    held = F.pmod(F.xxhash64("id", "prompt", F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    return made.where(~held), made.where(held)
+
+
+def read_artifacts(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Published tables that belong together; an error if their row counts differ."""
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    counts = {name: t.count() for name, t in tables.items()}
+    if len(set(counts.values())) > 1:
+        raise ValueError(f"tables of one build differ in rows: {counts}")
+    return tables
+
+
+def read_pincodes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The pincode dimension from the first of `paths` that can be read and has rows: CSV with a header, or JSON lines."""
+    failures = []
+    for path in paths:
+        try:
+            rows = spark.read.json(path) if ".json" in path else spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+            found = pincode_dimension(rows)
+            if not found.isEmpty():
+                return found
+            failures.append(f"{path}: no rows")
+        except Exception as error:  # the next mirror is tried; all failures are told at the end
+            failures.append(f"{path}: {str(error).splitlines()[0]}")
+    raise OSError("no pincodes: " + "; ".join(failures))
+
+
+def lookup_pincodes(asked: DataFrame, dimension: DataFrame, misses: DataFrame, fetch=None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the dimension for distinct asked pincodes, and the ones it lacks.  `misses` are known not to exist;
+    `fetch(batches)`, if given, is asked for the others, in batches, for the caller to append."""
+    once = asked.select("pincode").where(F.col("pincode").rlike("^[0-9]{6}$")).distinct()
+    found = once.join(dimension, "pincode")
+    unknown = once.join(dimension, "pincode", "left_anti").join(misses.select("pincode").distinct(), "pincode", "left_anti")
+    if fetch is None:
+        return found, unknown
+    new = unknown.mapInPandas(fetch, dimension.schema)
+    return found.unionByName(new), unknown.join(new.select("pincode"), "pincode", "left_anti")
+
+
+# The least rank of a place that stands for each precision, where a provider gives a rank or confidence.
+PLACE_RANKS = ((30, "ROOFTOP"), (26, "RANGE_INTERPOLATED"), (20, "GEOMETRIC_CENTER"), (0, "APPROXIMATE"))
+CONFIDENCES = ((9, "ROOFTOP"), (7, "RANGE_INTERPOLATED"), (5, "GEOMETRIC_CENTER"), (0, "APPROXIMATE"))
+
+
+def precision_class(value: Column, steps: Sequence[tuple[int, str]]) -> Column:
+    """The class of a provider's rank or confidence, null for none."""
+    out = F.lit(None).cast("string")
+    for least, name in reversed(steps):
+        out = F.when(value >= least, name).otherwise(out)
+    return out

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEEDBACK = "ts TIMESTAMP, query STRING, predicted STRING, corrected STRING, label STRING, source STRING"
 
@@ -88,3 +89,51 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complet
     )
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def choose_arm(values: DataFrame, luck: Column, searches: Column) -> Column:
+    """The arm of a search: by chance with a share that falls with the searches, else the arm of the largest value.
+
+    `values` has arm and value, a row an arm (four of them); `luck` is uniform in 0 to 1, so that a run can be repeated.
+    """
+    arms = [r["arm"] for r in values.orderBy(F.col("value").desc(), "arm").collect()]  # one row an arm
+    share = F.greatest(F.lit(FLOOR), EPSILON * F.pow(F.lit(DECAY), searches))
+    place = F.floor(luck / share * len(arms)).cast("int")
+    return F.when(luck < share, F.element_at(F.array(*[F.lit(a) for a in sorted(arms)]), F.least(place + 1, F.lit(len(arms))))).otherwise(F.lit(arms[0]))
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> DataFrame:
+    """Runs a stream of updates over what is there; each batch is added to a table of files, and the latest row of each
+    key is returned, so that nothing lands on the driver."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("m")).select(*key, "m.*")
+
+
+def paced(rows: DataFrame, call, schema: str, seconds: float = 1.05, lanes: int = 1) -> DataFrame:
+    """Calls an outside service for rows with at least `seconds` between calls: one task a lane, each of which waits.
+    `call(row)` returns a tuple; an error is a row with nulls and the message in the column `error`, the last of schema."""
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                began = time.monotonic()
+                try:
+                    out.append((*call(row), None))
+                except Exception as error:  # told in the row, for a later run to try again
+                    out.append((*([None] * (len(names) - 1)), str(error)))
+                time.sleep(max(0.0, seconds - (time.monotonic() - began)))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(lanes).mapInPandas(run, schema)
