@@ -25,7 +25,7 @@ OPENING, CLOSING = "<|im_start|>", "<|im_end|>\n"
 
 
 def _hash(seed: int) -> Column:
-    """A turn's hash under its rank, kept to 62 bits so that sums of decimals stay exact."""
+    """A turn's 64-bit hash under its rank, as a decimal, so that sums stay exact."""
     return F.xxhash64("rank", "role", "text", F.lit(seed)).cast("decimal(38,0)")
 
 

@@ -76,6 +76,16 @@ class Scratch:
         release(self.spark)
 
 
+#: Rows of an Arrow batch: texts are long, and a worker and its executor hold a batch or two at a time.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Arrow batches of texts hold BATCH_ROWS rows, unless the session asks for fewer than Spark's 10,000 itself."""
+    if int(spark.conf.get(BATCH_CONF)) >= 10_000:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps, which it does once the driver forgets their plans."""
     gc.collect()

@@ -9,7 +9,8 @@ Training takes a bounded sample (SAMPLE_WINDOWS windows, dealt evenly to the lan
 the id) to the driver; all else is done where the rows lie.
 
 Defined cases: null text or text without a letter = `und` with score 0; languages without text are
-not learned; without any labelled row every prediction is `und`; an empty table gives no rows.
+not learned; without any labelled row every prediction is `und`; an empty table gives no rows; over
+MAX_LANGUAGES languages among the labels are an error, as a window a language is then no sample.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 24
@@ -187,6 +190,7 @@ def predict_languages(docs: DataFrame, model: tuple[ByteConvNet, list[str]] | No
                 scores.append(float(odds.max() / odds.sum()))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": langs, "score": scores})
 
+    small_batches(spark)
     given = docs.select("doc_id", "text", has_letter.alias("usable"))
     return given.mapInPandas(predict, "doc_id long, lang_pred string, score double")
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets
-from .common import Scratch, cut_at, drop_path, maybe_broadcast
+from .common import Scratch, cut_at, drop_path, maybe_broadcast, small_batches
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 48, 16, 12, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
@@ -116,6 +116,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 }
             )
 
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", _text_key().alias("tkey"))
     return keyed.mapInPandas(
         sketch, "doc_id long, n_shingles long, set_a long, set_b long, sign array<short>, tkey long"
@@ -316,7 +317,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     Rows without an id stay, of rows that repeat a kept id all stay, and a row goes only with its own text.
     """
     gone = near_duplicates(docs, width, percent).where(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key"))
+    gone, _ = maybe_broadcast(gone.select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")), 24)
     own = (docs["doc_id"] == gone["gone_id"]) & F.xxhash64(docs["text"], F.lit(TEXT_SEED)).eqNullSafe(gone["gone_key"])
     return docs.join(gone, own, "left_anti")
 

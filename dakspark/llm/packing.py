@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STOCK_IDS = 2_000_000
@@ -223,6 +225,7 @@ def pack_documents(
         if arrays:
             yield from emit(names, arrays)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(pack, PIECES)
 
 

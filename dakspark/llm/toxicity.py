@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gated
+from .common import small_batches
 from .gated import GatedNet, Scorer, word_pieces
 from .langid import held_out
 
@@ -113,6 +114,7 @@ def _scores(scorer: Scorer, texts: pa.Array) -> Iterator[float]:
 
 def _by_batch(net: GatedNet, place: int, made: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch], spark) -> Callable:
     """A function for mapInArrow: `made(batch, scores)` of each batch, whose text is column `place`."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
