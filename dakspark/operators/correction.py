@@ -47,7 +47,9 @@ def candidate_pairs(queries: DataFrame, corpus: DataFrame, pool: int = POOL) ->
     queries, corpus = staged(queries, "queries"), staged(corpus, "corpus")
     q = queries.select("query_id", F.col("parsed.tokens").alias("toks"), F.col("parsed.pincode").alias("pincode"))
     c = corpus.select("addr_id", F.col("parsed.tokens").alias("toks"), F.col("parsed.pincode").alias("pincode"))
-    near = staged(rare_candidates(q.where(F.col("pincode").isNotNull()), c, ["pincode"], pool=pool), "candidates")
+    # Within a pincode the pincode itself tells nothing.
+    held = q.where(F.col("pincode").isNotNull()).withColumn("toks", F.array_remove("toks", F.col("pincode")))
+    near = staged(rare_candidates(held, c, ["pincode"], pool=pool), "candidates")
     rest = q.join(near.select("query_id").distinct(), "query_id", "left_anti")
     wide = rare_candidates(rest.drop("pincode"), c.drop("pincode"), pool=pool)
     both = near.unionByName(wide)
