@@ -40,7 +40,10 @@ PIECES = (
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 #: Other letters, where case, composition or classes need the library's own rules, take the direct way.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, also between its tasks and while it does other stages' work.
+KEPT_WORDS = 250_000
+#: Pieces that are handed on at a time.
+FRAME_ROWS = 1000
 
 
 class WordEncoder:
@@ -200,7 +203,7 @@ def pack_documents(
                     offset += n
                 made += 1
                 group[1] = (group[1] + size) % max(size, step_ids)
-                if len(rows) >= 5000:
+                if len(rows) >= FRAME_ROWS:
                     yield frame(rows)
                     rows = []
             if rows:
