@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from dakspark.plans.catalogue import QUERIES, SQL
 
@@ -101,3 +102,13 @@ def test_upsert_keeps_hits(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     new = spark.createDataFrame([(1, None), (2, "z"), (3, "w")], "k int, v string")
     assert {tuple(r) for r in tables.upsert(old, new, "k", "v").collect()} == {(1, "x"), (2, "z"), (3, "w")}
+
+
+def test_number_that_ends_a_pincode_still_meets(spark):
+    from dakspark.functions import text as X
+    from dakspark.operators import matching
+
+    pairs = [("No 17, mg road, 5 layout 500017", "No 17, mg road, 3 layout 500017", True), ("No 17, mg road, 5 layout 500017", "No 4, mg road, 3 layout 500017", False),
+             ("No 17, mg road 500017", "No 4, mg road 500017", True)]
+    rows = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", X.parse("a").alias("q"), X.parse("b").alias("c"))
+    assert all(r["want"] == r["got"] for r in rows.select("want", matching.structured_gate(F.col("q"), F.col("c")).alias("got")).collect())
