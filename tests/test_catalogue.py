@@ -112,3 +112,11 @@ def test_number_that_ends_a_pincode_still_meets(spark):
              ("No 17, mg road 500017", "No 4, mg road 500017", True)]
     rows = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", X.parse("a").alias("q"), X.parse("b").alias("c"))
     assert all(r["want"] == r["got"] for r in rows.select("want", matching.structured_gate(F.col("q"), F.col("c")).alias("got")).collect())
+
+
+def test_place_has_all_its_rows(spark):
+    from dakspark.operators import blocking
+
+    corpus = spark.range(30).select(F.col("id").alias("addr_id"), F.lit("560001").alias("pincode"), F.lit("pune").alias("city"), F.lit("mg road").alias("text"))
+    asks = spark.createDataFrame([(1, "560001", "pune", ["mg"])], "query_id long, pincode string, city string, terms array<string>")
+    assert blocking.geo_then_keywords(asks, corpus, least=3, top=5).count() == 30
