@@ -120,3 +120,44 @@ def test_place_has_all_its_rows(spark):
     corpus = spark.range(30).select(F.col("id").alias("addr_id"), F.lit("560001").alias("pincode"), F.lit("pune").alias("city"), F.lit("mg road").alias("text"))
     asks = spark.createDataFrame([(1, "560001", "pune", ["mg"])], "query_id long, pincode string, city string, terms array<string>")
     assert blocking.geo_then_keywords(asks, corpus, least=3, top=5).count() == 30
+
+
+def most_rows(rows):
+    """The largest number of rows that any step of a query's plan gave out, the query run."""
+    rows.collect()
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if name == "ReusedExchangeExec":
+            return 0
+        own = plan.metrics().get("numOutputRows")
+        kids = plan.children()
+        return max([own.get().value() if own.isDefined() else 0, *[walk(kids.apply(i)) for i in range(kids.size())]])
+
+    return walk(rows._jdf.queryExecution().executedPlan())
+
+
+def test_equal_queries_are_answered_once(spark):
+    from dakspark.operators import blocking, retrieval
+
+    corpus = spark.range(400).select(F.col("id").alias("addr_id"), F.concat(F.lit("temple road "), "id").alias("text"))
+    asks = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit("temple"), F.lit("road")).alias("terms"), F.lit("temp").alias("prefix"))
+    blocks = blocking.keyword_block(asks, corpus, top=5)
+    found = retrieval.prefix_matches(asks, corpus, k=5)
+    assert most_rows(blocks) <= 3000 and most_rows(found) <= 3000
+    for rows in (blocks, found):
+        assert {(r["addr_id"], r["rank"]) for r in rows.collect()} == {(i, i + 1) for i in range(5)} and rows.count() == 1500
+
+
+def test_rows_of_like_terms_keep_their_order(spark):
+    from dakspark.operators import blocking
+
+    corpus = spark.createDataFrame([(1, "a x"), (2, "a b"), (3, "b a a"), (4, "c"), (5, "a b c"), (6, "b c")], "addr_id long, text string")
+    asks = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "a"]), (3, ["c"]), (4, ["a", "b", "c"]), (5, [])], "query_id long, terms array<string>")
+    got = sorted(tuple(r) for r in blocking.keyword_block(asks, corpus, top=3).collect())
+    ab = [(2, 2, 1), (3, 2, 2), (5, 2, 3)]
+    assert got == [(q, *r) for q in (1, 2) for r in ab] + [(3, 4, 1, 1), (3, 5, 1, 2), (3, 6, 1, 3), (4, 2, 2, 2), (4, 3, 2, 3), (4, 5, 3, 1)]
