@@ -190,3 +190,25 @@ def test_backup_on_clash(spark):
     second = spark.createDataFrame([(1, 0.4, True, "c"), (2, 0.95, True, "d")], "query_id long, confidence double, geocoded boolean, address string")
     got = {r["query_id"]: r["address"] for r in correction.better_of(rows, second).collect()}
     assert got == {1: "c", 2: "b"}
+
+
+@pytest.mark.parametrize(
+    ("made", "cut"),
+    [(lambda: X.canonicalize("t"), "split(t,"), (lambda: D.display("t"), "lower(t)"), (lambda: X.cap_repeats(X.drop_runs(X.tokens("t"))), "split(t,"), (lambda: X.parse("t"), "lower(t)")],
+)
+def test_a_text_is_taken_apart_once(spark, made, cut):
+    assert str(made()).count(cut) == 1
+
+
+def test_aliases_by_walk(spark):
+    pairs = [("  12  mg   road ", "12 mahatma gandhi road"), ("btm layout btm", "btm layout btm layout"), ("hill lane", "hill lane"), ("mg mg road", "mg mahatma gandhi road"), (None, None), ("", "")]
+    rows = spark.createDataFrame(pairs, "t string, want string")
+    assert [r["got"] for r in rows.select(X.canonicalize("t").alias("got")).collect()] == [w for _, w in pairs]
+
+
+def test_equal_prefixes_are_suggested_once(spark):
+    corpus = spark.range(60).select(F.col("id").alias("addr_id"), F.concat(F.lit("temple road "), "id").alias("text"))
+    vocabulary = spark.createDataFrame([("temple", 60), ("road", 60)], "token string, n long")
+    asks = spark.range(50).select(F.col("id").alias("query_id"), F.lit("templ").alias("prefix"))
+    got = correction.live_suggest(asks, corpus, vocabulary, k=4).collect()
+    assert len(got) == 200 and {(r["text"], r["place"]) for r in got} == {(f"temple road {i}", i + 1) for i in range(4)}
