@@ -212,3 +212,39 @@ def test_equal_prefixes_are_suggested_once(spark):
     asks = spark.range(50).select(F.col("id").alias("query_id"), F.lit("templ").alias("prefix"))
     got = correction.live_suggest(asks, corpus, vocabulary, k=4).collect()
     assert len(got) == 200 and {(r["text"], r["place"]) for r in got} == {(f"temple road {i}", i + 1) for i in range(4)}
+
+
+def test_ratios_by_brute_force():
+    import random
+
+    from dakspark.functions import similarity as S
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    def windows(short, long):
+        n = len(short)
+        own = [long[max(0, i) : i + n] for i in range(1 - n, len(long))]
+        return max(200.0 * lcs(short, w) / (n + len(w)) for w in own)
+
+    luck = random.Random(3)
+    for _ in range(1500):
+        a, b = ("".join(luck.choice("abcd ") for _ in range(luck.randint(1, 12))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        want = max(windows(short, long), windows(long, short) if len(a) == len(b) else 0.0)
+        assert S.partial(a, b) == want and S.lcs_length(a, b) == lcs(a, b)
+    assert S.partial("abbc", "middle east road x") == 25.0
+
+
+def test_pool_of_pairs_is_slim(spark):
+    asks = spark.createDataFrame([(1, "12 temple road pune 411001")], "query_id long, text string").withColumn("parsed", X.parse("text"))
+    corpus = spark.createDataFrame([(i, f"{i} temple road pune 411001") for i in range(10, 30)], "addr_id long, text string").withColumn("parsed", X.parse("text"))
+    assert correction.candidate_pairs(asks, corpus).columns == ["query_id", "addr_id", "shared"]
+    best = correction.ranked_matches(asks, corpus, top=2).orderBy("rank").collect()
+    assert best[0]["addr_id"] == 12 and best[0]["c"]["raw"] == "12 temple road pune 411001" and len(best) == 2
