@@ -262,3 +262,25 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(rows).collect()}
     assert got == {x: find(x) for x in root}
     assert components.connected_components(rows.limit(0)).count() == 0
+
+
+def test_lines_sets_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from dakspark.llm import linededup
+
+    test = linededup.alike(F.col("a"), F.col("b"), 80)
+    assert str(test).lower().count("cast(a as binary)") == 1 and str(test).lower().count("cast(b as binary)") == 1
+    rows = [("the same line of text", "the same line of text", True), ("abc", "abc", True), ("abc", "abd", False),
+            ("0123456789abcdefghij", "0123456789abcdefghik", True), ("0123456789", "012345678x", False)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select("want", test.alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+
+
+def test_shingles_cast_outside_the_walk():
+    from pyspark.sql import functions as F
+
+    from dakspark.llm import linededup
+
+    walk = str(linededup.shingles(F.col("a"))).lower()
+    assert walk.index("cast(a as binary)") < walk.index("xxhash64")
