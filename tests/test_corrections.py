@@ -248,3 +248,26 @@ def test_pool_of_pairs_is_slim(spark):
     assert correction.candidate_pairs(asks, corpus).columns == ["query_id", "addr_id", "shared"]
     best = correction.ranked_matches(asks, corpus, top=2).orderBy("rank").collect()
     assert best[0]["addr_id"] == 12 and best[0]["c"]["raw"] == "12 temple road pune 411001" and len(best) == 2
+
+
+def test_best_by_shared_scores(spark):
+    """The k best by groups of like rows are those of all pairs, ties, repeated words and rows without words included."""
+    import random
+
+    from dakspark.operators import retrieval
+
+    rng = random.Random(5)
+    words = lambda n: [rng.choice(["road", "road", "east", "west", f"n{rng.randint(0, 150)}"]) for _ in range(n)]
+    docs = spark.createDataFrame([(i, words(rng.choice([0, 1, 3, 3, 4]))) for i in range(600)], "doc_id long, toks array<string>")
+    asks = [(i, words(rng.choice([0, 1, 2, 4]))) for i in range(40)] + [(90, ["road"]), (91, ["n7"]), (92, ["nowhere"]), (93, None)]
+    asks = spark.createDataFrame(asks, "query_id long, terms array<string>")
+    vector = F.array(*[F.pmod(F.xxhash64("c", F.lit(i)), F.lit(7)) - 3.0 for i in range(3)])
+    queries = asks.withColumn("c", F.col("query_id") % 6).select("query_id", vector.alias("vector"))
+    corpus = docs.withColumn("c", F.col("doc_id") % 11).select(F.col("doc_id").alias("vec_id"), vector.alias("embedding"))
+    for k in (7, 90):
+        want = retrieval.top_k(retrieval.bm25(asks, docs), k, "doc_id")
+        got = retrieval.bm25_top_k(asks, docs, k)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        want = retrieval.dense_top_k(queries, corpus, k)
+        got = retrieval.shared_top_k(queries, corpus, k)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
