@@ -96,3 +96,17 @@ def test_lcs_against_table():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert S.lcs_length(a, b) == table[-1][-1]
+
+
+def test_ratios_of_many_pairs():
+    """A batch gives what its pairs give one by one: long, empty, equal and odd strings included."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abné😀0", k=rng.choice([1, 2, 5, 9])))
+    text = lambda: " ".join(word() for _ in range(rng.choice([0, 1, 2, 5, 9, 30])))
+    a = [text() for _ in range(600)] + ["", "", "x\0", "a" * 64, "a" * 65, "ab " * 200, "  ", "b a"]
+    b = [rng.choice([x, x[3:], x + " road", text(), text()[:64]]) for x in a[:600]] + ["", "a", "x", "b" * 64, "a" * 65, "b " * 200, "a", "a b"]
+    for many, one in ((S.lcs_lengths, S.lcs_length), (S.ratios, S.ratio), (S.token_sorts, S.token_sort), (S.token_sets, S.token_set), (S.partials, S.partial)):
+        assert many(a, b).tolist() == [one(x, y) for x, y in zip(a, b)]
+        assert many(a[:600], b[:600]).tolist() == [one(x, y) for x, y in zip(a[:600], b[:600])]
