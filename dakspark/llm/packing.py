@@ -37,9 +37,9 @@ PIECES = (
 )
 
 #: Fixed value: how the vocabulary's rule splits plain text, for texts of the letters in PLAIN only.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
-#: Other letters, where case, composition or classes need the library's own rules, take the direct way.
-OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zß-öø-ÿ]+")
+#: Other letters, where case, composition or classes need the library's own rules, and MARK take the direct way.
+OTHER, MARK = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]"), "<|"
 #: Words whose ids a worker keeps, also between its tasks and while it does other stages' work.
 KEPT_WORDS = 250_000
 #: Pieces that are handed on at a time.
@@ -77,22 +77,21 @@ class WordEncoder:
                 begin = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if OTHER.search(x) else WORD.findall(x.lower()) for x in texts]
-        new = {w for x in split if x for w in x}.difference(self.known)
+        split = [None if MARK in x or OTHER.search(x) else WORD.findall(x.lower()) for x in texts]
+        found = [None if x is None else list(map(self.known.get, x)) for x in split]
+        gaps = [[i for i, ids in enumerate(x) if ids is None] if x and None in x else [] for x in found]
+        new = {words[i] for words, own in zip(split, gaps) for i in own}
         if new:
             self._learn(sorted(new))
         out = []
-        for text, words in zip(texts, split):
+        for text, words, parts, own in zip(texts, split, found, gaps):
             if words is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, "<u4"))
             else:
-                try:
-                    raw = b"".join(map(self.known.__getitem__, words))
-                except KeyError:  # forgotten when the store was cleared
-                    self._learn(sorted(set(words)))
-                    raw = b"".join(map(self.known.__getitem__, words))
-                out.append(np.frombuffer(raw, "<u2").astype("<u4"))
+                for i in own:
+                    parts[i] = self.known[words[i]]
+                out.append(np.frombuffer(b"".join(parts), "<u2").astype("<u4"))
         return out
 
 

@@ -70,3 +70,20 @@ def test_query_checksums(frame):
     first = got[1]["length"]
     assert got[1]["ids_crc32"] == zlib.crc32(np.array([*ids, 1][:first], "<u4").tobytes())
     assert pack_query(frame([])).count() == 0
+
+
+def test_words_of_a_cleared_store_are_learned_once_a_batch(monkeypatch):
+    from dakspark.llm import packing
+
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    rng = random.Random(4)
+    rare = ["".join(rng.choices("abcdé'9.-", k=rng.randint(1, 8))) for _ in range(600)]
+    batches = [[" ".join(["the", "Road", "x<|y", *rng.choices(rare, k=rng.choice([0, 3, 30]))][:: rng.choice([1, 1, 2])]) for _ in range(8)] for _ in range(40)]
+    encoder, vocabulary = packing.WordEncoder(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    batches += [["'s 'still 'll it's we've'd ''s", "don't\tstop\x0b", "", "a\u00a0b"]]
+    learn, calls = encoder._learn, []
+    encoder._learn = lambda words: (calls.append(len(words)), learn(words))
+    for texts in batches:
+        got = [x.tolist() for x in encoder.encode(texts)]
+        assert got == [vocabulary.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(calls) <= len(batches)
