@@ -57,3 +57,14 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DIR)
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
+def test_a_job_gives_back_memory_as_it_goes(spark, monkeypatch):
+    from dakspark.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", calls.append)
+    scratch = common.Scratch(spark)
+    for i in range(2 * common.RELEASE_EVERY):
+        assert scratch.cut(spark.range(i), "rows").count() == i
+    assert len(calls) == 2
