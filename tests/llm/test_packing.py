@@ -87,3 +87,19 @@ def test_words_of_a_cleared_store_are_learned_once_a_batch(monkeypatch):
         got = [x.tolist() for x in encoder.encode(texts)]
         assert got == [vocabulary.encode(x, add_special_tokens=False).ids for x in texts]
     assert len(calls) <= len(batches)
+
+
+def test_words_in_use_are_kept_when_the_store_is_renewed(monkeypatch):
+    from dakspark.llm import packing
+
+    monkeypatch.setattr(packing, "KEPT_WORDS", 200)
+    encoder, vocabulary = packing.WordEncoder(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    tokenizer, seen = encoder.tokenizer, []
+    used = [f"straße{chr(97 + i)}" for i in range(20)]
+    plain = encoder._word
+    encoder._word = lambda word: (seen.append(word), plain(word))[1]
+    for i in range(100):
+        texts = [" ".join([*used, *(f"w{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + i // 26)}q," for j in range(10))])]
+        assert encoder.encode(texts)[0].tolist() == vocabulary.encode(texts[0], add_special_tokens=False).ids
+    assert encoder.tokenizer is tokenizer and max(map(seen.count, used)) == 1
+    assert len(encoder.known) + len(encoder.older) <= 400
