@@ -284,3 +284,18 @@ def test_shingles_cast_outside_the_walk():
 
     walk = str(linededup.shingles(F.col("a"))).lower()
     assert walk.index("cast(a as binary)") < walk.index("xxhash64")
+
+
+def test_steps_over_few_edges_need_no_shuffle(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(150)] + [(7, None), (9, 9)]
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    plans, cut_at = [], components.cut_at
+    monkeypatch.setattr(components, "cut_at", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut_at(df, name))[1])
+    found = {}
+    for few in (100_000, 0):
+        plans.clear()
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        found[few] = {r["node"]: r["component"] for r in components.connected_components(rows).collect()}
+        assert len(plans) > 2 and any("Exchange" in x.replace("BroadcastExchange", "") for x in plans[1:]) == (few == 0)
+    assert found[0] == found[100_000] and {found[0][i] for i in range(41)} == {0}
