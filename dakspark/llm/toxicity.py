@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gated
-from .common import small_batches
+from .common import release, small_batches
 from .gated import GatedNet, Scorer, word_pieces
 from .langid import held_out
 
@@ -67,6 +67,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> GatedNet | None:
     rows.sort(key=lambda r: -r["doc_id"])
     if len({r["toxic"] for r in rows}) < 2:
         return None
+    # The process that trains counts beside the driver, which waits for it.
+    release(docs.sparkSession)
     return train_apart(rows)
 
 

@@ -68,3 +68,37 @@ def test_a_job_gives_back_memory_as_it_goes(spark, monkeypatch):
     for i in range(2 * common.RELEASE_EVERY):
         assert scratch.cut(spark.range(i), "rows").count() == i
     assert len(calls) == 2
+
+
+def test_the_driver_keeps_little_beyond_what_is_in_use(spark):
+    import gc
+    import time
+
+    from dakspark.llm import common
+
+    jvm = spark.sparkContext._jvm
+    held = jvm.java.nio.ByteBuffer.allocate(600 << 20)
+    del held
+    gc.collect()
+    time.sleep(1)  # the gateway forgets it in a thread of its own
+    common.release(spark)
+    heap = jvm.java.lang.management.ManagementFactory.getMemoryMXBean().getHeapMemoryUsage()
+    assert heap.getUsed() < 300 << 20
+    # By Java's own rule 3.3 times what is in use would stay.
+    assert heap.getCommitted() <= 2 * heap.getUsed() + (16 << 20)
+
+
+def test_release_trims_memory_outside_the_heap(spark, monkeypatch):
+    from dakspark.llm import common
+
+    asked, array = [], common._array
+
+    def seen(spark, kind, items):
+        items = list(items)
+        asked.extend(x for x in items if isinstance(x, str))
+        return array(spark, kind, items)
+
+    monkeypatch.setattr(common, "_array", seen)
+    monkeypatch.setattr(common, "Py4JError", ZeroDivisionError)  # so that a failure shows
+    common.release(spark)
+    assert asked == ["systemTrimNativeHeap"]
