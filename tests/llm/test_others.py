@@ -299,3 +299,19 @@ def test_steps_over_few_edges_need_no_shuffle(spark, monkeypatch):
         found[few] = {r["node"]: r["component"] for r in components.connected_components(rows).collect()}
         assert len(plans) > 2 and any("Exchange" in x.replace("BroadcastExchange", "") for x in plans[1:]) == (few == 0)
     assert found[0] == found[100_000] and {found[0][i] for i in range(41)} == {0}
+
+
+def test_small_buckets_need_no_rounds(frame, monkeypatch):
+    from dakspark.llm import buckets
+
+    rng = random.Random(3)
+    base = [" ".join(f"word{rng.randrange(300)}" for _ in range(rng.choice([6, 40, 150]))) for _ in range(12)]
+    rows = [(i, "\n".join(x[: rng.randrange(20, len(x))] + "#" + x[-20:] if rng.random() < 0.2 else x.replace("d1", "e1", 1) for x in rng.sample(base, 5))) for i in range(30)]
+    names, cut_at, found = [], buckets.cut_at, {}
+    monkeypatch.setattr(buckets, "cut_at", lambda df, name: (names.append(name), cut_at(df, name))[1])
+    for small in (linededup.SMALL, 3, 0):
+        names.clear()
+        monkeypatch.setattr(linededup, "SMALL", small)
+        found[small] = sorted(tuple(r) for r in linededup.dedupe_lines(frame(rows)).collect())
+        assert ("leaders" in names) == (small < 256)
+    assert len({tuple(x) for x in found.values()}) == 1
