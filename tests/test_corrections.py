@@ -271,3 +271,14 @@ def test_best_by_shared_scores(spark):
         want = retrieval.dense_top_k(queries, corpus, k)
         got = retrieval.shared_top_k(queries, corpus, k)
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_texts_spared_the_walk_hold_no_alias(spark):
+    import random
+
+    rng = random.Random(4)
+    aliases = {"a": "a b", "b c": "d", "c.d": "x", "a b c": "q", "e (f": "g h"}
+    texts = [" ".join(rng.choice(["a", "b", "c", "c.d", "cxd", "e", "(f", "ab", "é"]) for _ in range(rng.randrange(7))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(X.canonicalize("t", aliases).alias("a"), X._canonical(X.tokens("t"), aliases).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(r["a"] != t for r, t in zip(got, texts)) > 100
